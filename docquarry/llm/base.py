@@ -51,11 +51,18 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iter
 
 
 def as_text(arr: pa.Array) -> pa.Array:
-    """A compact large_string array without nulls (null: empty)."""
+    """A compact large_string array without nulls (null: empty), its own text from byte 0 on."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     arr = arr.cast(pa.large_string())
-    return arr.fill_null("") if arr.null_count else arr
+    arr = arr.fill_null("") if arr.null_count else arr
+    raw = arr.buffers()[2]
+    if not len(arr) or raw is None:
+        return arr
+    off = np.frombuffer(arr.buffers()[1], np.int64, len(arr) + 1, arr.offset * 8)
+    if off[0] == 0:
+        return arr
+    return pa.LargeStringArray.from_buffers(len(arr), pa.py_buffer((off - off[0]).tobytes()), raw.slice(int(off[0]), int(off[-1] - off[0])))
 
 
 def offsets_of(arr: pa.Array) -> np.ndarray:
