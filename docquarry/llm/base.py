@@ -89,3 +89,23 @@ def binary_array(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Rows of raw little-endian bytes; offsets count elements of flat."""
     raw = np.ascontiguousarray(flat)
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * raw.itemsize).astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
+def append_columns(df: DataFrame, text_col: str, fields: str, compute, max_bytes: int = 4 << 20) -> DataFrame:
+    """df with more columns, made by compute(text array) -> Arrow arrays; rows and other columns pass through.
+
+    A column of df that has the name of a new one is replaced.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+    kept = df.drop(*names)
+    columns = kept.columns
+    place = columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, place, max_bytes):
+                yield pa.RecordBatch.from_arrays([*part.columns, *compute(part.column(place))], [*columns, *names])
+
+    from pyspark.sql.types import StructType
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(fields).fields]))

@@ -14,6 +14,7 @@ from docquarry.llm.base import bytes_of
 _RNG = np.random.default_rng(20240229)
 _VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _VALUE[65:91] = _VALUE[97:123]
+_EXACT = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,12 +45,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, offsets of the rows' words)."""
+    (h,), off = word_prefixes(texts, _SPACE, (0,))
+    return h, off
+
+
+#: All of ASCII but letters and digits.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_prefixes(texts: pa.Array, outside: np.ndarray, lengths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each length n, the hash of each word's first n bytes (0: the word); words lie between bytes of outside."""
     data, off = bytes_of(texts)
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return [np.zeros(0, np.uint64) for _ in lengths], np.zeros(len(off), np.int64)
     power, back = _tables(n)
-    inside = ~_SPACE[data]
+    inside = ~outside[data]
     fresh = np.zeros(n + 1, bool)
     fresh[off] = True
     begin = inside.copy()
@@ -60,8 +71,25 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     end = np.flatnonzero(close) + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * power[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
-    return h, np.searchsorted(start, off)
+    found = []
+    for length in lengths:
+        stop = np.minimum(start + length, end) if length else end
+        found.append(mix((total[stop] - total[start]) * back[start] + (stop - start).astype(np.uint64)))
+    return found, np.searchsorted(start, off)
+
+
+def row_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each row's whole bytes."""
+    data, off = bytes_of(texts)
+    n = len(data)
+    power, back = _tables(n)
+    size = np.diff(off).astype(np.uint64)
+    out = []
+    for value in (_EXACT, _EXACT[::-1]):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(value[data] * power[:n], out=total[1:])
+        out.append(mix((total[off[1:]] - total[off[:-1]]) * back[off[:-1]] + size))
+    return out[0], out[1]
 
 
 def ngrams(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
