@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.ann import ann_search
 from docquarry.llm.base import read_table
+from docquarry.llm.jaccard import jaccard_join
 from docquarry.llm.knn_join import knn_join
 from docquarry.llm.mixing import mix
 from docquarry.llm.packing import pack
@@ -54,11 +55,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxicity").alias("predicted"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read_table(spark, sf_dir, "documents"), k=3, num=90)
+
+
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(*conversation_calls(read_table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_exact_topk, op4_packing, op5_ann, op6_toxicity, op7_token_ids, op8_token_counts, op10_tool_calls)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_exact_topk, op4_packing, op5_ann, op6_toxicity, op7_token_ids, op8_token_counts, op9_jaccard, op10_tool_calls)}
 
 SQL = {
     "op3_exact_topk": """
