@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.base import append_columns, bytes_of, list_array, materialize
+from docquarry.llm.base import append_columns, bounded_sample, bytes_of, list_array, materialize
 from docquarry.llm.wordhash import words
 
 _WORDS = 512
@@ -120,14 +120,14 @@ def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], weights: list[
     k = len(domains)
     w = np.array(weights, float) / sum(weights)
     truth = labelled.filter(F.col("domain").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__dq_id")).agg(F.max("domain").cast("int").alias("domain"))
-    # An equal share of the bound for each domain; at most max_labelled rows: safe to broadcast.
-    parts = [truth.filter(F.col("domain") == d).orderBy(F.xxhash64("__dq_id"), "__dq_id").limit(max_labelled // k) for d in range(k)]
+    # An equal share of the bound for each domain; of bounded size: safe to broadcast.
+    parts = [bounded_sample(truth.filter(F.col("domain") == d), ["__dq_id"], max_labelled // k) for d in range(k)]
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
     read = docs.select(F.col(id_col).cast("long").alias("__dq_id"), F.col(text_col).alias("text"))
     sample = append_columns(read.join(F.broadcast(chosen), "__dq_id"), "text", "x binary", lambda t: [pa.array([r.astype("<f4").tobytes() for r in features(t)[1]], pa.binary())])
-    rows = sample.select("domain", "x").limit(2 * max_labelled).collect()  # ids may repeat in docs
+    rows = sample.select("domain", "x").limit(4 * max_labelled).collect()  # ids may repeat in docs
     if rows:
         y = np.array([r.domain for r in rows])
         model = fit_softmax(np.array([np.frombuffer(r.x, "<f4") for r in rows], float), y, k)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.base import shared_dir, slices
+from docquarry.llm.base import bounded_sample, shared_dir, slices
 from docquarry.llm.bpe import encoder
 
 _HEAD = struct.Struct("<4sHHI32s")
@@ -61,7 +61,7 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int, dictionary_bytes: int, width: int) -> bytes:
-    """At most sample_docs short serialized arrays (at most 4096 ids each) reach the driver."""
+    """About sample_docs short serialized arrays (at most 4096 ids each) reach the driver."""
 
     def serialize(batches):
         for batch in batches:
@@ -70,8 +70,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_d
                 rows = [np.append(ids[off[i] : min(off[i + 1], off[i] + 4095)], end_id).astype(f"<u{width}").tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
 
-    rank = F.xxhash64("id")
-    sample = docs.select("id", "text").orderBy(rank, "id").limit(sample_docs).select(F.coalesce(F.substring("text", 1, 16384), F.lit("")).alias("text"))
+    sample = bounded_sample(docs, ["id"], sample_docs).select(F.coalesce(F.substring("text", 1, 16384), F.lit("")).alias("text"))
     rows = [bytes(r.ids) for r in sample.repartition(8).mapInArrow(serialize, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(dictionary_bytes, rows).as_bytes()

@@ -2,7 +2,7 @@
 
 Voters look at whole texts only. Fixed voters hold an English lexicon. Mined voters hold words and word
 beginnings of 4, 5 and 6 bytes that go with labels.toxic in a bounded sample of labelled rows of the training
-folds (max_labelled, the documented bound). Every voter votes toxic or not on every document; the counts of
+folds (about max_labelled rows, the documented bound). Every voter votes toxic or not on every document; the counts of
 the vote patterns over all documents fit a two-class generative label model by expectation maximisation,
 which estimates each voter's accuracies, then from its posterior the voters' correlations within a class; a
 voter's evidence is shared out among those that it is correlated with. A logistic regression on the voters'
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.base import append_columns, slices
+from docquarry.llm.base import append_columns, bounded_sample, materialize, slices
 from docquarry.llm.wordhash import NOT_WORD, word_prefixes
 
 #: Common English insults.
@@ -56,7 +56,7 @@ def _mine(labelled: DataFrame, least: int, precision: float, most: int) -> list[
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64)), pa.array(pos, pa.int64()), pa.array(neg, pa.int64())], ["kind", "h", "pos", "neg"])
 
     table = labelled.select("text", "toxic").mapInArrow(count, "kind int, h long, pos long, neg long").groupBy("kind", "h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    good = table.filter((F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
+    good = materialize(table.filter((F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg")))))
     out = []
     for kind in KINDS:
         rows = good.filter(F.col("kind") == kind).orderBy(F.desc("pos"), "h").limit(most).collect()
@@ -139,7 +139,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """docs with toxicity_score (0 to 1) and toxicity (1: score >= threshold)."""
     key = F.col(id_col)
     truth = labels.filter(F.col("toxic").isNotNull() & key.isNotNull() & ~held_out(key)).groupBy(key.cast("long").alias("__dq_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = truth.orderBy(F.xxhash64("__dq_id"), "__dq_id").limit(max_labelled)  # at most max_labelled rows: safe to broadcast
+    chosen = bounded_sample(truth, ["__dq_id"], max_labelled)  # of bounded size: safe to broadcast
     read = docs.select(key.cast("long").alias("__dq_id"), F.col(text_col).alias("text"))
     labelled = read.join(F.broadcast(chosen), "__dq_id")
     mined = _mine(labelled, least, precision, most)
@@ -150,7 +150,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     prior = min(max(float(share if share is not None else 0.05), 0.005), 0.5)
 
     seen = append_columns(read.withColumn("fit", ~held_out(F.col("__dq_id"))), "text", "m array<double>", lambda texts: [pa.array(list(_matches(texts, fixed, mined)), pa.list_(pa.float64()))])
-    seen = seen.select("__dq_id", "fit", "m")
+    seen = materialize(seen.select("__dq_id", "fit", "m"))
     bits = F.expr(f"aggregate(transform(slice(m, 1, {voters}), (x, i) -> IF(x > 0, shiftleft(1, i), 0)), 0, (a, x) -> a + x)")
     patterns = seen.groupBy(bits.alias("bits")).agg(F.count("*").alias("n")).collect()  # at most 2 ** voters rows
     if not patterns:
@@ -161,7 +161,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         model = LabelModel(votes, np.array([r.n for r in patterns], float), prior)
         # Voted-on rows are few, so the sample takes them first; the bound holds for both kinds together.
         some = F.exists(F.slice("m", 1, voters), lambda x: x > 0)
-        parts = [seen.filter("fit").filter(c).orderBy(F.xxhash64("__dq_id"), "__dq_id").limit(max_fit // 2).select("m").collect() for c in (some, ~some)]
+        parts = [bounded_sample(seen.filter("fit").filter(c), ["__dq_id"], max_fit // 2).select("m").collect() for c in (some, ~some)]
         m = np.array([r.m for p in parts for r in p]).reshape(-1, voters + 1)
         beta = _fit_logistic(_inputs(m), model.posterior((m[:, :-1] > 0).astype(float))) if len(m) else np.zeros(3 * voters + 1)
 
