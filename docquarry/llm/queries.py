@@ -12,6 +12,7 @@ from docquarry.llm.jaccard import jaccard_join
 from docquarry.llm.knn_join import knn_join
 from docquarry.llm.mixing import mix
 from docquarry.llm.packing import pack
+from docquarry.llm.passages import repeated_passages
 from docquarry.llm.token_counts import token_counts
 from docquarry.llm.token_store import token_output
 from docquarry.llm.toolcalls import CHAT_SCHEMAS, conversation_calls, link_tool_calls
@@ -20,6 +21,10 @@ from docquarry.llm.toxicity import held_out, score_toxicity
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     return knn_join(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
@@ -63,7 +68,7 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(*conversation_calls(read_table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_exact_topk, op4_packing, op5_ann, op6_toxicity, op7_token_ids, op8_token_counts, op9_jaccard, op10_tool_calls)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_passages, op3_exact_topk, op4_packing, op5_ann, op6_toxicity, op7_token_ids, op8_token_counts, op9_jaccard, op10_tool_calls)}
 
 SQL = {
     "op3_exact_topk": """
