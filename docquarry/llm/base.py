@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +25,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut lineage with a written table in the shared folder; survives lost executors."""
+def materialize(df: DataFrame, release: bool = False) -> DataFrame:
+    """Cut lineage with a written table in the shared folder; survives lost executors.
+
+    release: after a large step, let Spark's cleaner delete the finished query's shuffle files now rather than
+    when the driver next happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docquarry/{uuid.uuid4().hex}"
     schema = df.schema
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def join_filters(spark: SparkSession) -> Iterator[None]:
+    """Let Spark build its own Bloom filters (bounded by its creationSideThreshold and maxNumBits) for joins of a
+    selective small table with a large scan of any size, so that rows without a partner are not shuffled."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose text is about max_bytes in all; one longer row stands alone."""
     n = batch.num_rows

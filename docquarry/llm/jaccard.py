@@ -4,7 +4,10 @@ Rows with equal shingle sets collapse into one class by two 64-bit set hashes. T
 at least o = ceil(t * n) of either's n shingles, so under any order of all shingles the first n - o + l of each
 hold at least l shared ones (l-match prefixes).
 
-1. Order by hash, l = 1 + n / 20: classes stay whose prefix holds enough shingles that some other prefix holds.
+1. Partition filter: similar sets differ in at most d = (1 - t) / t * n shingles, n the smaller size. Sizes fall
+   into geometric classes; within one, hash ranges cut every set into d + 2 parts, of which similar sets have
+   two at least in common. Parts are compared as hashes; classes with two such parts stay. A part holds
+   several shingles, so texts that only share phrases do not meet here, however large the corpus.
 2. For the classes left, shingles are counted exactly. A shingle of one class alone can match nothing, so a
    class with more than n - o of them goes. Order by (frequency, hash), rarest first; each class lengthens its
    prefix to the l whose estimated cost, sum(frequency - 1) / l, is least.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.base import list_array, materialize, slices
+from docquarry.llm.base import join_filters, list_array, materialize, slices
 from docquarry.llm.components import connected_components
 from docquarry.llm.wordhash import mix, shingle_sets
 
@@ -43,8 +46,31 @@ def needed(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
-def _first_matches(n: int) -> int:
-    return 1 + n // 20
+_BOUNDS = [1]
+while _BOUNDS[-1] < 1 << 40:
+    _BOUNDS.append(max(_BOUNDS[-1] + 1, _BOUNDS[-1] * 3 // 2))
+_BOUNDS = np.array(_BOUNDS)
+COMMON_PARTS = 2
+
+
+def part_hashes(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of the parts of a sorted set, in each size class that a similar smaller set may be of."""
+    n = len(s)
+    if not n:
+        return np.zeros(0, np.int64)
+    value, out = mix(s), []
+    first, last = np.searchsorted(_BOUNDS, (needed(n, num, den), n), side="right") - 1
+    for c in range(first, last + 1):
+        apart = int(_BOUNDS[c + 1] - 1) * (den - num) // num
+        if not apart:
+            continue
+        parts = apart + COMMON_PARTS
+        at = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        total = np.zeros(parts, np.uint64)
+        total[at[begin].astype(np.int64)] = np.add.reduceat(value, begin)
+        out.append(mix(total + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(c) << 40)))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def class_columns(k: int):
@@ -62,31 +88,33 @@ CLASS_FIELDS = "__dq_n long, __dq_s1 long, __dq_s2 long"
 
 
 def _classes(base: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: id, n, s1, s2), (classes: rid, first_id, n, s1, s2, need, pre)."""
+    """(rows: id, n, s1, s2, parts), (classes: rid, first_id, n, s1, s2)."""
 
     def scan(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1), k)
                 one, two = set_hashes(sets)
-                size = [min(len(s), len(s) - needed(len(s), num, den) + _first_matches(len(s))) for s in sets]
-                pre = [(s[:p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for s, p in zip(sets, size)]
+                pre = [part_hashes(s, num, den) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), pa.array([_first_matches(needed(len(s), num, den)) for s in sets], pa.int32()), list_array(np.concatenate(pre), np.concatenate(([0], np.cumsum(size))), pa.int32())],
-                    ["id", "n", "s1", "s2", "need", "pre"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), list_array(np.concatenate(pre), np.concatenate(([0], np.cumsum([len(p) for p in pre]))), pa.int64())],
+                    ["id", "n", "s1", "s2", "parts"],
                 )
 
-    seen = materialize(base.mapInArrow(scan, "id long, n long, s1 long, s2 long, need int, pre array<int>"))
-    classes = seen.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("first_id"), F.any_value("need").alias("need"), F.any_value("pre").alias("pre"))
-    return seen.select("id", "n", "s1", "s2"), materialize(classes.withColumn("rid", F.monotonically_increasing_id()))
+    seen = materialize(base.mapInArrow(scan, "id long, n long, s1 long, s2 long, parts array<long>"))
+    classes = seen.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("first_id"))
+    return seen, materialize(classes.withColumn("rid", F.monotonically_increasing_id()), release=True)
 
 
-def _survivors(base: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _survivors(base: DataFrame, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Step 1, then the whole sets of what stays: (rid, n, tokens)."""
-    postings = classes.select("rid", "need", F.explode("pre").alias("t"))
+    first = rows.withColumnRenamed("id", "first_id").join(classes.select("rid", "n", "s1", "s2", "first_id"), ["n", "s1", "s2", "first_id"])
+    postings = first.select("rid", F.explode("parts").alias("t"))
     shared = postings.groupBy("t").agg(F.count("*").alias("c")).filter("c >= 2").select("t")
-    hits = postings.join(shared, "t").groupBy("rid").agg(F.count("*").alias("hits"), F.any_value("need").alias("need")).filter("hits >= need").select("rid")
-    chosen = classes.join(hits, "rid").select("rid", "first_id", "s1", "s2")
+    hits = postings.join(shared, "t").groupBy("rid").agg(F.count("*").alias("hits"))
+    enough = f"hits >= {COMMON_PARTS}"
+    # The condition stands again over the written table, where Spark's join filter looks for one.
+    chosen = materialize(classes.join(hits, "rid").filter(enough).select("rid", "first_id", "s1", "s2", "hits"), release=True).filter(enough)
 
     def sets(batches):
         for batch in batches:
@@ -100,15 +128,17 @@ def _survivors(base: DataFrame, classes: DataFrame, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same)), pa.array([len(s) for s in kept], pa.int64()), list_array(np.concatenate(kept), np.concatenate(([0], np.cumsum([len(s) for s in kept]))), pa.int64())], ["rid", "n", "tokens"])
 
     texts = chosen.join(base, chosen.first_id == base.id).select("rid", "s1", "s2", "text")
-    return materialize(texts.mapInArrow(sets, "rid long, n long, tokens array<long>"))
+    with join_filters(base.sparkSession):
+        return materialize(texts.mapInArrow(sets, "rid long, n long, tokens array<long>"), release=True)
 
 
 def _prefixes(whole: DataFrame, num: int, den: int) -> DataFrame:
     """Step 2: (rid, n, u, l, pre): u shingles of no other class, l and the shared shingles of the l-match prefix."""
-    each = whole.select("rid", "n", F.explode("tokens").alias("t"))
+    each = whole.select("rid", F.explode("tokens").alias("t"))
     common = each.groupBy("t").agg(F.count("*").alias("df")).filter("df >= 2")
     # Bounded by the document: its own shingles come back to it.
-    back = each.join(common, "t").groupBy("rid", "n").agg(F.sort_array(F.collect_set(F.struct("df", "t"))).alias("held"))
+    held = each.join(common, "t").groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("df", "t"))).alias("held"))
+    back = held.join(whole.groupBy("rid").agg(F.any_value("n").alias("n")), "rid").select("rid", "n", "held")
 
     def choose(batches):
         for batch in batches:
@@ -131,7 +161,7 @@ def _prefixes(whole: DataFrame, num: int, den: int) -> DataFrame:
                 a, b, c, d, e = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int32()), list_array(np.concatenate(e), np.concatenate(([0], np.cumsum([len(x) for x in e]))), pa.int64())], ["rid", "n", "u", "l", "pre"])
 
-    return materialize(back.mapInArrow(choose, "rid long, n long, u long, l int, pre array<long>"))
+    return materialize(back.mapInArrow(choose, "rid long, n long, u long, l int, pre array<long>"), release=True)
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
@@ -153,7 +183,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """(rows: id, n, s1, s2), (classes: n, s1, s2, first_id, component_id)."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows, classes = _classes(base, k, num, den)
-    whole = _survivors(base, classes, k)
+    whole = _survivors(base, rows, classes, k)
     prefixes = _prefixes(whole, num, den)
 
     postings = prefixes.select("rid", "n", "u", "l", F.explode("pre").alias("t"))
@@ -164,18 +194,21 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     placed = materialize(postings.join(lists.select("t"), "t").join(merged, F.col("rid") == F.col("node"), "left").select("t", "rid", "n", "u", "l", F.coalesce("component", "rid").alias("component")))
     largest = placed.groupBy("t", "component").agg(F.count("*").alias("c")).groupBy("t").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "component")).alias("x")).filter("kinds >= 2").select("t", F.col("x.component").alias("largest"))
-    mixed = placed.join(largest, "t")
-    left = mixed.filter("component != largest").select("t", "largest", *(F.col(c).alias(f"{c}1") for c in ("rid", "n", "u", "l", "component")))
-    right = mixed.select("t", *(F.col(c).alias(f"{c}2") for c in ("rid", "n", "u", "l", "component")))
+    mixed = placed.join(largest, "t").join(prefixes.select("rid", "pre"), "rid")
+    left = mixed.filter("component != largest").select("t", "largest", *(F.col(c).alias(f"{c}1") for c in ("rid", "n", "u", "l", "component", "pre")))
+    right = mixed.select("t", *(F.col(c).alias(f"{c}2") for c in ("rid", "n", "u", "l", "component", "pre")))
     apart = (F.col("component1") != F.col("component2")) & ((F.col("component2") == F.col("largest")) | (F.col("rid1") < F.col("rid2")))
-    close = left.join(right, (left.t == right.t) & apart & _can(num, den, "n1", "u1", "n2", "u2"))
-    pairs = close.groupBy(F.col("rid1").alias("a"), F.col("rid2").alias("b")).agg(F.count("*").alias("c"), F.least(F.any_value("l1"), F.any_value("l2")).alias("l")).filter("c >= l").select("a", "b")
+    # A pair comes once: where it meets on the first shingle that both prefixes hold.
+    shared = F.array_intersect("pre1", "pre2")
+    once = (shared[0] == left.t) & (F.size(shared) >= F.least("l1", "l2"))
+    close = left.join(right, (left.t == right.t) & apart & _can(num, den, "n1", "u1", "n2", "u2") & once)
+    pairs = close.select(F.col("rid1").alias("a"), F.col("rid2").alias("b"))
     second = _verified(pairs, whole, num, den)
 
     final = connected_components(first.unionByName(second))
     known = classes.select("rid", "n", "s1", "s2", "first_id").join(final, F.col("rid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rid"))
     heads = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows, materialize(known.join(heads, "component").select("n", "s1", "s2", "first_id", "component_id"))
+    return rows.drop("parts"), materialize(known.join(heads, "component").select("n", "s1", "s2", "first_id", "component_id"))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@
    cost to change diagonal; passages of min_words at least, with min_identity of words equal, are returned.
 
 A document is never matched with itself; rows that share an id count as one document, and of these the words
-come from one row. Null ids take no part; null, empty and short texts have no seeds. Extra columns pass
+come from one row. A stretch of one word repeated holds a single seed and is no passage. Null ids take no part; null, empty and short texts have no seeds. Extra columns pass
 through remove_passages; an empty table gives an empty table.
 """
 
