@@ -12,7 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that go to a Python worker at once; texts may be long, and the default of 10,000 is made for short rows.
+BATCH_ROWS = 1000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,7 +44,16 @@ def materialize(df: DataFrame, release: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if release:
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._docquarry_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._docquarry_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -65,6 +81,7 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iter
         to = min(n, max(at + 1, to))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # workers live on after their task
 
 
 def as_text(arr: pa.Array) -> pa.Array:
@@ -108,7 +125,7 @@ def binary_array(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * raw.itemsize).astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
 
 
-def append_columns(df: DataFrame, text_col: str, fields: str, compute, max_bytes: int = 4 << 20) -> DataFrame:
+def append_columns(df: DataFrame, text_col: str, fields: str, compute, max_bytes: int = 1 << 20) -> DataFrame:
     """df with more columns, made by compute(text array) -> Arrow arrays; rows and other columns pass through.
 
     A column of df that has the name of a new one is replaced.

@@ -120,7 +120,7 @@ class RunEncoder:
         return self.ids[place], ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
 
 
-def encoder(path: str, max_runs: int = 3_000_000) -> RunEncoder:
+def encoder(path: str, max_runs: int = 1_000_000) -> RunEncoder:
     """This process's encoder for a vocabulary file; max_runs bounds its memory (about 50 bytes a run)."""
     key = (path, max_runs)
     if key not in _encoders:

@@ -5,9 +5,11 @@ at least o = ceil(t * n) of either's n shingles, so under any order of all shing
 hold at least l shared ones (l-match prefixes).
 
 1. Partition filter: similar sets differ in at most d = (1 - t) / t * n shingles, n the smaller size. Sizes fall
-   into geometric classes; within one, hash ranges cut every set into d + 2 parts, of which similar sets have
-   two at least in common. Parts are compared as hashes; classes with two such parts stay. A part holds
-   several shingles, so texts that only share phrases do not meet here, however large the corpus.
+   into geometric classes; within one, hash ranges cut every set into 1.25 d + 1 parts. Similar sets have all
+   but d of them in common, so each has at least (parts - d - its own empty parts) parts, not empty, that some
+   other set has too; classes with fewer go. Parts are compared as hashes, in passes over slices of them, which
+   bounds the shuffle files on disk. A part holds several shingles, so texts that only share phrases do not
+   meet here, however large the corpus.
 2. For the classes left, shingles are counted exactly. A shingle of one class alone can match nothing, so a
    class with more than n - o of them goes. Order by (frequency, hash), rarest first; each class lengthens its
    prefix to the l whose estimated cost, sum(frequency - 1) / l, is least.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.base import join_filters, list_array, materialize, slices
+from docquarry.llm.base import discard, join_filters, list_array, materialize, slices
 from docquarry.llm.components import connected_components
 from docquarry.llm.wordhash import mix, shingle_sets
 
@@ -50,27 +52,29 @@ _BOUNDS = [1]
 while _BOUNDS[-1] < 1 << 40:
     _BOUNDS.append(max(_BOUNDS[-1] + 1, _BOUNDS[-1] * 3 // 2))
 _BOUNDS = np.array(_BOUNDS)
-COMMON_PARTS = 2
+PASSES = 4
+SPARE = 4  # a quarter more parts than can differ
+_CLASS_BITS = 127  # the low bits of a part's hash name its size class
 
 
-def part_hashes(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the parts of a sorted set, in each size class that a similar smaller set may be of."""
+def part_hashes(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """(hashes of the non-empty parts of a sorted set, class + 128 * parts needed), for each class that a similar smaller set may be of."""
     n = len(s)
     if not n:
-        return np.zeros(0, np.int64)
-    value, out = mix(s), []
+        return np.zeros(0, np.int64), []
+    value, out, needs = mix(s), [], []
     first, last = np.searchsorted(_BOUNDS, (needed(n, num, den), n), side="right") - 1
     for c in range(first, last + 1):
         apart = int(_BOUNDS[c + 1] - 1) * (den - num) // num
         if not apart:
             continue
-        parts = apart + COMMON_PARTS
+        parts = apart + 1 + apart // SPARE
         at = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        total = np.zeros(parts, np.uint64)
-        total[at[begin].astype(np.int64)] = np.add.reduceat(value, begin)
-        out.append(mix(total + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(c) << 40)))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+        h = mix(np.add.reduceat(value, begin) + at[begin] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(c) << 40))
+        out.append((h & ~np.uint64(_CLASS_BITS)) | np.uint64(c))
+        needs.append(int(c) + 128 * max(0, parts - apart - (parts - len(begin))))
+    return (np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)), needs
 
 
 def class_columns(k: int):
@@ -88,37 +92,50 @@ CLASS_FIELDS = "__dq_n long, __dq_s1 long, __dq_s2 long"
 
 
 def _classes(base: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: id, n, s1, s2, parts), (classes: rid, first_id, n, s1, s2)."""
+    """(rows: id, n, s1, s2, parts, needs), (classes: rid, first_id, n, s1, s2)."""
 
     def scan(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 20):
                 sets = shingle_sets(part.column(1), k)
                 one, two = set_hashes(sets)
-                pre = [part_hashes(s, num, den) for s in sets]
+                pre, needs = zip(*(part_hashes(s, num, den) for s in sets))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), list_array(np.concatenate(pre), np.concatenate(([0], np.cumsum([len(p) for p in pre]))), pa.int64())],
-                    ["id", "n", "s1", "s2", "parts"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), list_array(np.concatenate(pre), np.concatenate(([0], np.cumsum([len(p) for p in pre]))), pa.int64()), pa.array(list(needs), pa.list_(pa.int64()))],
+                    ["id", "n", "s1", "s2", "parts", "needs"],
                 )
 
-    seen = materialize(base.mapInArrow(scan, "id long, n long, s1 long, s2 long, parts array<long>"))
+    seen = materialize(base.mapInArrow(scan, "id long, n long, s1 long, s2 long, parts array<long>, needs array<long>"))
     classes = seen.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("first_id"))
     return seen, materialize(classes.withColumn("rid", F.monotonically_increasing_id()), release=True)
 
 
-def _survivors(base: DataFrame, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Step 1, then the whole sets of what stays: (rid, n, tokens)."""
-    first = rows.withColumnRenamed("id", "first_id").join(classes.select("rid", "n", "s1", "s2", "first_id"), ["n", "s1", "s2", "first_id"])
-    postings = first.select("rid", F.explode("parts").alias("t"))
-    shared = postings.groupBy("t").agg(F.count("*").alias("c")).filter("c >= 2").select("t")
-    hits = postings.join(shared, "t").groupBy("rid").agg(F.count("*").alias("hits"))
-    enough = f"hits >= {COMMON_PARTS}"
+def _candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Step 1: (rid, first_id, s1, s2) of the classes that stay."""
+    keys = ["n", "s1", "s2", "first_id"]
+    named = rows.withColumnRenamed("id", "first_id")
+    found = None
+    for i in range(PASSES):
+        own = F.expr(f"filter(parts, t -> pmod(shiftright(t, 7), {PASSES}) = {i})")
+        postings = named.select(*keys, own.alias("own")).join(classes.select("rid", *keys), keys).select("rid", F.explode("own").alias("t"))
+        shared = postings.groupBy("t").agg(F.count("*").alias("c")).filter("c >= 2").select("t")
+        some = materialize(postings.join(shared, "t").groupBy("rid", F.col("t").bitwiseAND(_CLASS_BITS).alias("class")).agg(F.count("*").alias("hits")), release=True)
+        found = some if found is None else found.unionByName(some)
+    hits = found.groupBy("rid", "class").agg(F.sum("hits").alias("hits"))
+    needs = named.select(*keys, F.explode("needs").alias("need")).join(classes, keys).select("rid", "first_id", "s1", "s2", F.col("need").bitwiseAND(_CLASS_BITS).alias("class"), F.shiftright("need", 7).alias("need"))
+    enough = "hits >= need"
     # The condition stands again over the written table, where Spark's join filter looks for one.
-    chosen = materialize(classes.join(hits, "rid").filter(enough).select("rid", "first_id", "s1", "s2", "hits"), release=True).filter(enough)
+    held = needs.join(hits, ["rid", "class"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))).filter(enough)
+    chosen = held.groupBy("rid").agg(*(F.any_value(c).alias(c) for c in ("first_id", "s1", "s2")), F.max("hits").alias("hits"), F.min("need").alias("need"))
+    return materialize(chosen, release=True).filter(enough)
+
+
+def _whole_sets(base: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """The whole sets of the classes that stay: (rid, n, tokens)."""
 
     def sets(batches):
         for batch in batches:
-            for part in slices(batch, 3):
+            for part in slices(batch, 3, 1 << 20):
                 found = shingle_sets(part.column(3), k)
                 one, two = set_hashes(found)
                 # An id may stand on rows of other texts: keep the row of this class.
@@ -182,8 +199,11 @@ def _can(num: int, den: int, n1: str, u1: str, n2: str, u2: str) -> F.Column:
 def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: id, n, s1, s2), (classes: n, s1, s2, first_id, component_id)."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows, classes = _classes(base, k, num, den)
-    whole = _survivors(base, rows, classes, k)
+    parted, classes = _classes(base, k, num, den)
+    rows = materialize(parted.select("id", "n", "s1", "s2"))
+    chosen = _candidates(parted, classes)
+    discard(parted)
+    whole = _whole_sets(base, chosen, k)
     prefixes = _prefixes(whole, num, den)
 
     postings = prefixes.select("rid", "n", "u", "l", F.explode("pre").alias("t"))
@@ -200,7 +220,10 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     apart = (F.col("component1") != F.col("component2")) & ((F.col("component2") == F.col("largest")) | (F.col("rid1") < F.col("rid2")))
     # A pair comes once: where it meets on the first shingle that both prefixes hold.
     shared = F.array_intersect("pre1", "pre2")
-    once = (shared[0] == left.t) & (F.size(shared) >= F.least("l1", "l2"))
+    # Of the set whose prefix ends first, every shared shingle in the prefix lies in the other prefix too, so the
+    # overlap is at most those and what lies behind one prefix.
+    most = F.size(shared) + F.greatest(F.col("n1") - F.col("u1") - F.size("pre1"), F.col("n2") - F.col("u2") - F.size("pre2"))
+    once = (shared[0] == left.t) & (F.size(shared) >= F.least("l1", "l2")) & (most * den >= (F.col("n1") + F.col("n2") - most) * num)
     close = left.join(right, (left.t == right.t) & apart & _can(num, den, "n1", "u1", "n2", "u2") & once)
     pairs = close.select(F.col("rid1").alias("a"), F.col("rid2").alias("b"))
     second = _verified(pairs, whole, num, den)
@@ -208,7 +231,9 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     final = connected_components(first.unionByName(second))
     known = classes.select("rid", "n", "s1", "s2", "first_id").join(final, F.col("rid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rid"))
     heads = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows.drop("parts"), materialize(known.join(heads, "component").select("n", "s1", "s2", "first_id", "component_id"))
+    labelled = materialize(known.join(heads, "component").select("n", "s1", "s2", "first_id", "component_id"), release=True)
+    discard(whole)
+    return rows, labelled
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

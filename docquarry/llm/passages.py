@@ -138,7 +138,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def find(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 20):
                 row, pos, value = seeds(part.column(1), k, w)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(pos, pa.int32())], ["h", "id", "pos"])
 
@@ -173,7 +173,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def cut(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 20):
                 h, off = words(part.column(1))
                 ids, ss, es, out = [], [], [], []
                 for i, (key, spans) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):

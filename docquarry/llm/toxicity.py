@@ -16,6 +16,8 @@ held out. Columns of docs pass through; toxicity_score and toxicity replace colu
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +46,7 @@ def _mine(labelled: DataFrame, least: int, precision: float, most: int) -> list[
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, 1 << 20):
                 toxic = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 found, off = word_prefixes(part.column(0), NOT_WORD, KINDS)
                 row = np.repeat(np.arange(len(toxic)), np.diff(off))
@@ -135,19 +137,19 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
     return beta
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, max_fit: int = 20_000, least: int = 4, precision: float = 0.97, most: int = 400, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, max_fit: int = 20_000, chance: float = 1e-4, precision: float = 0.97, most: int = 400, threshold: float = 0.3) -> DataFrame:
     """docs with toxicity_score (0 to 1) and toxicity (1: score >= threshold)."""
     key = F.col(id_col)
     truth = labels.filter(F.col("toxic").isNotNull() & key.isNotNull() & ~held_out(key)).groupBy(key.cast("long").alias("__dq_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = bounded_sample(truth, ["__dq_id"], max_labelled)  # of bounded size: safe to broadcast
     read = docs.select(key.cast("long").alias("__dq_id"), F.col(text_col).alias("text"))
     labelled = read.join(F.broadcast(chosen), "__dq_id")
-    mined = _mine(labelled, least, precision, most)
-    fixed = _hashes_of(INSULTS)
-    voters = 1 + len(KINDS) * GROUPS
-
     share = chosen.agg(F.avg("toxic").alias("p")).first().p
     prior = min(max(float(share if share is not None else 0.05), 0.005), 0.5)
+    # So often in toxic rows alone that chance would not do it.
+    mined = _mine(labelled, max(3, math.ceil(math.log(chance) / math.log(prior))), precision, most)
+    fixed = _hashes_of(INSULTS)
+    voters = 1 + len(KINDS) * GROUPS
 
     seen = append_columns(read.withColumn("fit", ~held_out(F.col("__dq_id"))), "text", "m array<double>", lambda texts: [pa.array(list(_matches(texts, fixed, mined)), pa.list_(pa.float64()))])
     seen = materialize(seen.select("__dq_id", "fit", "m"))
