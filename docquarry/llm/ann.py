@@ -55,7 +55,7 @@ def projected_search(q_full: np.ndarray, q_proj: np.ndarray, q_ids: np.ndarray,
         order = np.argsort(lower, kind="stable")
         own = float(q_full[r] @ q_full[r])
         seen_at, seen_d = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
+        at, step, products = 0, 4, None
         while at < len(order):
             if len(seen_d) >= k:
                 d2 = seen_d[:k].max()
@@ -64,16 +64,22 @@ def projected_search(q_full: np.ndarray, q_proj: np.ndarray, q_ids: np.ndarray,
                         break
             leaves = order[at : at + step]
             at += step
+            step *= 2  # few, growing rounds: the test costs more than a leaf
             rows = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in leaves])
             rows = rows[ids[rows] != q_ids[r]]
-            d = np.maximum(own + square[rows] - 2 * (full[rows] @ q_full[r]), 0)
+            if products is None and 4 * len(leaves) >= len(order):
+                products = full @ q_full[r]  # one pass in place is cheaper than gathering a quarter of the shard
+            d = np.maximum(own + square[rows] - 2 * (full[rows] @ q_full[r] if products is None else products[rows]), 0)
+            if len(d) > 4 * k:
+                near = d <= np.partition(d, k)[k]
+                rows, d = rows[near], d[near]
             seen_at, seen_d = np.concatenate((seen_at, rows)), np.concatenate((seen_d, d))
             keep = np.lexsort((ids[seen_at], seen_d))[:k]
             seen_at, seen_d = seen_at[keep], seen_d[keep]
         yield r, seen_at
 
 
-def ann_search(queries: DataFrame, data: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", m: int = 12, tau: float = 0.97, shard_rows: int = 8192, leaf: int = 32, query_rows: int = 256, seed: int = 7) -> DataFrame:
+def ann_search(queries: DataFrame, data: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", m: int = 16, tau: float = 0.9, shard_rows: int = 8192, leaf: int = 32, query_rows: int = 256, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found, by largest inner product."""
     spark = data.sparkSession
     rows = usable(data, id_col, vector_col, True)
