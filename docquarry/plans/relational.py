@@ -94,6 +94,11 @@ WRITERS = {
     "citation_strip_sources": lambda d: f"SELECT conv_id, turn, regexp_replace(answer, {d['r']}'{SOURCES_TAIL}', '') AS body FROM {answers(d)} a",
     "citation_validate": lambda d: f"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(answer, {d['r']}'\\[(0|[6-9]|[0-9][0-9]+)\\]', ''{d['g']}), {d['r']}'  +', ' '{d['g']})) AS valid FROM {answers(d)} a",
     "citation_sources": lambda d: f"SELECT conv_id, turn, '## Sources' || chr(10) || {d['agg'](chr(39) + '- [' + chr(39) + ' || r || ' + chr(39) + '] ' + chr(39) + ' || source', 'chr(10)', 'r')} AS sources FROM (SELECT DISTINCT a.conv_id, a.turn, a.r, k.source FROM (SELECT conv_id, turn, conv_id % 9 AS r FROM conversations WHERE role = 'assistant' UNION SELECT conv_id, turn, turn % 4 FROM conversations WHERE role = 'assistant') a JOIN documents k ON k.doc_id = a.r WHERE a.r BETWEEN 1 AND 5) s GROUP BY conv_id, turn",
+    "citation_postprocess": lambda d: f"""SELECT p.conv_id, p.turn, CASE WHEN s.sources IS NULL THEN p.valid ELSE concat(p.valid, chr(10), chr(10), s.sources) END AS answer, coalesce(s.sources, '') AS sources
+ FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(body, {d['r']}'\\[(0|[6-9]|[0-9][0-9]+)\\]', ''{d['g']}), {d['r']}'  +', ' '{d['g']})) AS valid FROM (SELECT conv_id, turn, regexp_replace(answer, {d['r']}'{SOURCES_TAIL}', '') AS body FROM {answers(d)} a) b) p
+ LEFT JOIN (SELECT conv_id, turn, '## Sources' || chr(10) || {d['agg'](chr(39) + '- [' + chr(39) + ' || r || ' + chr(39) + '] ' + chr(39) + ' || source', 'chr(10)', 'r')} AS sources FROM (SELECT DISTINCT a.conv_id, a.turn, a.r, k.source FROM (SELECT conv_id, turn, CAST(ref AS BIGINT) AS r FROM (SELECT conv_id, turn, {'explode' if d['r'] else 'unnest'}({d['all']('answer', d['r'] + chr(39) + chr(92) + '[([0-9]{1,9})' + chr(92) + ']' + chr(39))}) AS ref
+ FROM (SELECT conv_id, turn, regexp_replace(answer, {d['r']}'{SOURCES_TAIL}', '') AS answer FROM {answers(d)} x) y) z) a JOIN documents k ON k.doc_id = a.r WHERE a.r BETWEEN 1 AND 5) u GROUP BY conv_id, turn) s ON s.conv_id = p.conv_id AND s.turn = p.turn""",
+    "noise_filtered": lambda d: f"SELECT doc_id, {d['agg']('line', 'chr(10)', 'ln')} AS kept FROM (SELECT doc_id, ln, CASE WHEN ln % 9 = 4 THEN 'Page ' || ln WHEN ln % 9 = 7 THEN '© 2020 publisher' ELSE line END AS line FROM {d['lines']} a) l WHERE NOT {d['like']}(line, {d['r']}'{NOISE}') GROUP BY doc_id",
     "citation_rates": lambda d: f"SELECT count(*) AS answers, CAST(sum(CASE WHEN conv_id % 9 BETWEEN 1 AND 5 THEN 1 ELSE 0 END) AS BIGINT) AS valid_first, round(avg(CASE WHEN conv_id % 9 BETWEEN 1 AND 5 THEN CAST(1 AS DOUBLE) ELSE 0 END), 4) AS accuracy FROM {answers(d)} a",
     # other sources
     "html_text": lambda d: f"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, {d['r']}'(?is)<(script|style)[^>]*>.*?</(script|style)>', ' '{d['g']}), {d['r']}'<[^>]*>', ' '{d['g']}), {d['r']}'[ \\n\\t\\r]+', ' '{d['g']})) AS body FROM pages",

@@ -83,6 +83,17 @@ def mmr_select(spark, sf_dir):
     return diversify(top)
 
 
+def retrieval_pipeline(spark, sf_dir):
+    """Both legs, fusion to twenty, lexical rerank to ten, five diverse ones: (position, chunk_id, score, title, block)."""
+    best = rerank_lexical(spark, sf_dir)  # ten rows
+    vectors = table(spark, sf_dir, "embeddings").join(F.broadcast(best), F.col("vec_id") == F.col("chunk_id"), "right")
+    picks = diversify(vectors.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "score", "embedding"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("source", F.lit("Unknown Source")).alias("title"), "text")
+    found = docs.join(F.broadcast(picks.join(best, "chunk_id")), "chunk_id")
+    block = F.concat(F.lit("["), "position", F.lit("] "), "title", F.lit("\n"), F.coalesce("text", F.lit("")))
+    return found.select("position", "chunk_id", "score", "title", block.alias("block")).orderBy("position")
+
+
 def context_assembly(spark, sf_dir):
     best = semantic_search(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 5).withColumn("n", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
     docs = table(spark, sf_dir, "documents").join(F.broadcast(best), F.col("doc_id") == F.col("vec_id"))
@@ -127,7 +138,7 @@ def stream_ingest(spark, sf_dir):
     return ingest_available(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {f.__name__: f for f in (semantic_topk, semantic_filtered, semantic_batch, keyword_topk, keyword_phrase, keyword_not, hybrid_search, rrf_single_leg, rerank_lexical, mmr_select, context_assembly, retrieval_metrics, chunk_markdown, reflow_lines, paragraph_merge, cross_page_merge, stream_ingest)}
+QUERIES = {f.__name__: f for f in (semantic_topk, semantic_filtered, semantic_batch, keyword_topk, keyword_phrase, keyword_not, hybrid_search, rrf_single_leg, rerank_lexical, mmr_select, retrieval_pipeline, context_assembly, retrieval_metrics, chunk_markdown, reflow_lines, paragraph_merge, cross_page_merge, stream_ingest)}
 
 _DOT = CHECK["dot"]
 _COS = lambda a, b: f"round({_DOT(a, b)} / (sqrt({_DOT(a, a)}) * sqrt({_DOT(b, b)})), 6)"
