@@ -8,7 +8,7 @@
    positions holds the best chain end before a place, gap costs are linear in the words skipped on both sides.
 4. Alignment: chains are widened by k + w words (a match that reaches further would have had another seed),
    the words of both sides fetched, and aligned along the chain's diagonals, +1 a match, -2 a mismatch, with a
-   cost to change diagonal; passages of min_words at least, with min_identity of words equal, are returned.
+   cost to change diagonal; all passages of min_words at least, with min_identity of words equal, are returned.
 
 A document is never matched with itself; rows that share an id count as one document, and of these the words
 come from one row. A stretch of one word repeated holds a single seed and is no passage. Null ids take no part; null, empty and short texts have no seeds. Extra columns pass
@@ -131,6 +131,39 @@ def align(a: np.ndarray, b: np.ndarray, diagonals: list[int], mismatch: int = -2
     return best[1:]
 
 
+def segments(a: np.ndarray, b: np.ndarray, diagonals: list[int], min_words: int, min_identity: float) -> list[tuple[int, int, int, int, int]]:
+    """All passages along the diagonals, as align() gives them: the best, then those left and right of it.
+
+    A segment below min_identity is aligned again at the mismatch cost at which a positive score is that identity.
+    """
+    ratio = -min_identity / (1 - min_identity) if min_identity < 1 else -float(len(a) + 1)
+    found = []
+    todo = [(0, len(a), diagonals, 0)]
+    while todo:
+        lo, hi, along, level = todo.pop()
+        if hi - lo < min_words:
+            continue
+        cost = min(-2, ratio) if level else -2
+        if level == 1:
+            cost += 0.5 / len(a)  # of exactly min_identity: positive
+        a0, a1, b0, b1, same = align(a[lo:hi], b, [d + lo for d in along], cost)
+        n = a1 - a0
+        # No passage scores less than this, and none here more than the best.
+        least = max(1e-9, min_words * (min_identity + cost * (1 - min_identity)) - 4 * (len(along) - 1))
+        if not n or same + cost * (n - same) < least:
+            continue
+        a0, a1 = a0 + lo, a1 + lo
+        todo += [(lo, a0, along, level), (a1, hi, along, level)]
+        if n >= min_words:
+            if same >= min_identity * max(n, b1 - b0):
+                found.append((a0, a1, b0, b1, same))
+            elif level == 0:
+                todo.append((a0, a1, along, 1))
+            elif level == 1:
+                todo += [(a0, a1, [d], 2) for d in along]  # jumps made the other side too long
+    return sorted(found)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, w: int = 12, min_words: int = 50, min_identity: float = 0.8, weight: float = 16.0, gap: float = 0.25) -> DataFrame:
     """One row (PASSAGES) for each passage that a document shares with an earlier one."""
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -200,9 +233,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for i in range(batch.num_rows):
                 a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 5))
                 d = [x - s2[i] + s1[i] for x in batch.column(6)[i].as_py()]
-                a0, a1, b0, b1, same = align(a, b, d)
-                if a1 - a0 >= min_words and same >= min_identity * max(a1 - a0, b1 - b0):
-                    rows.append((ids[i], s1[i] + a0, a1 - a0, lid[i], s2[i] + b0, same))
+                rows += [(ids[i], s1[i] + a0, a1 - a0, lid[i], s2[i] + b0, same) for a0, a1, b0, b1, same in segments(a, b, d, min_words, min_identity)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows)], [c.split()[0] for c in PASSAGES.split(", ")])
 

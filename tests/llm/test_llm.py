@@ -153,6 +153,20 @@ def test_passages(spark):
     assert align(np.array([1, 2, 3, 9, 4]), np.array([7, 1, 2, 3, 4]), [0, 1])[4] >= 3
 
 
+def test_all_passages_of_a_chain(spark):
+    rng = np.random.default_rng(30)
+    own, other = [f"x{i}" for i in range(2000)], [f"y{i}" for i in range(2000)]
+
+    def pair(blocks, gap):
+        parts = [list(rng.choice(WORDS, n)) for n in blocks]
+        return [" ".join(" ".join(p + [str(w) for w in rng.choice(filler, gap)]) for p in parts) for filler in (own, other)]
+
+    texts = [*pair((100, 100), 60), *pair((60, 60, 60), 29)]
+    got = repeated_passages(docs_of(spark, enumerate(texts, 1))).collect()
+    want = {(2, 1, 0, 100), (2, 1, 160, 100), (4, 3, 0, 60), (4, 3, 89, 60), (4, 3, 178, 60)}
+    assert {(r.doc_id, r.other_doc_id, r.start_word, r.n_words) for r in got} == want and all(r.matches == r.n_words for r in got)
+
+
 def test_mixing_reaches_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(["red", "green"] if i % 3 else ["blue!", "black!"], int(rng.integers(5, 60))))) for i in range(300)] + [(300, None), (301, ""), (None, "red")]
