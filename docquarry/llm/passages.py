@@ -6,8 +6,10 @@
    with map-side combine; the join back is one that adaptive execution can split.
 3. Chains: the matches of a document with one leader, in order of both positions; a Fenwick tree over leader
    positions holds the best chain end before a place, gap costs are linear in the words skipped on both sides.
-4. Alignment: chains are widened by k + w words (a match that reaches further would have had another seed),
-   the words of both sides fetched, and aligned along the chain's diagonals, +1 a match, -2 a mismatch, with a
+4. Windows: where recurring seeds follow each other without gaps, every window of min_words words is a seed too,
+   led by the first document that holds all of it: an exact passage is found whoever leads its short seeds.
+5. Alignment: chains and windows are widened by k + w words, and further, in rounds, on sides that still match
+   at the edge; the words of both sides are fetched, and aligned along the chain's diagonals, +1 a match, -2 a mismatch, with a
    cost to change diagonal; all passages of min_words at least, with min_identity of words equal, are returned.
 
 A document is never matched with itself; rows that share an id count as one document, and of these the words
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.base import join_filters, list_array, materialize, slices
+from docquarry.llm.base import discard, join_filters, list_array, materialize, slices
 from docquarry.llm.wordhash import _SPACE, ngrams, words
 
 PASSAGES = "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long, matches long"
@@ -51,6 +53,55 @@ def seeds(texts: pa.Array, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.n
     return row[first], chosen[first] - at[row[first]], value[first]
 
 
+def windows(texts: pa.Array, at: list, k: int, w: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word position, hash) of the size-word windows that recurring seeds at the given places fill.
+
+    In a shared window no seed is w words or more from the next, or from the window's ends. Of copies that overlap
+    each other (periodic text) one in size words stays, and the last.
+    """
+    h, off = words(texts)
+    g, first = ngrams(h, off, size)
+    rows = []
+    for i, places in enumerate(at):
+        n = int(off[i + 1] - off[i])
+        if n < size:
+            continue
+        near = np.zeros(n + 1, np.int64)
+        p = np.array(places, np.int64)
+        np.add.at(near, np.maximum(p - w + 1, 0), 1)
+        np.add.at(near, np.minimum(p + w, n), -1)
+        filled = np.concatenate(([0], np.cumsum(np.cumsum(near) > 0)))
+        inner = size - k + 1
+        start = np.arange(n - size + 1)
+        rows.append(first[i] + start[filled[start + inner] - filled[start] == inner])
+    chosen = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    row = np.searchsorted(first, chosen, side="right") - 1
+    value = g[chosen]
+    order = np.lexsort((chosen, value, row))
+    row, value, pos = row[order], value[order], (chosen - first[row])[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1]) | (pos[1:] - pos[:-1] >= size)
+    head = pos[np.maximum.accumulate(np.where(fresh, np.arange(len(pos)), 0))] if len(pos) else pos
+    tile = (pos - head) // size
+    kept = fresh.copy()
+    kept[1:] |= tile[1:] != tile[:-1]
+    kept[:-1] |= fresh[1:]
+    kept[-1:] = True
+    return row[kept], pos[kept], value[kept]
+
+
+def still_equal(a: np.ndarray, b: np.ndarray, diagonals: list[int], n: int) -> tuple[bool, bool]:
+    """Whether half of the first n words, and of the last, that lie inside both are equal on some diagonal."""
+    left = right = False
+    for d in diagonals:
+        lo, hi = max(0, -d), min(len(a), len(b) - d)
+        if hi > lo:
+            equal = a[lo:hi] == b[lo + d : hi + d]
+            left |= 2 * int(equal[:n].sum()) >= len(equal[:n])
+            right |= 2 * int(equal[-n:].sum()) >= len(equal[-n:])
+    return left, right
+
+
 def chains(x: np.ndarray, y: np.ndarray, weight: float, gap: float, least: float) -> list[np.ndarray]:
     """Places of the matches of each chain; x, y: positions on both sides.
 
@@ -92,6 +143,13 @@ def chains(x: np.ndarray, y: np.ndarray, weight: float, gap: float, least: float
     return found
 
 
+def runs(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Places of the matches of each unbroken run along one diagonal."""
+    order = np.lexsort((x, y - x))
+    x, d = x[order], (y - x)[order]
+    return np.split(order, np.flatnonzero((d[1:] != d[:-1]) | (x[1:] != x[:-1] + 1)) + 1)
+
+
 def align(a: np.ndarray, b: np.ndarray, diagonals: list[int], mismatch: int = -2, jump: int = -4) -> tuple[int, int, int, int, int]:
     """The best local alignment along the diagonals (b's place minus a's): (a start, a end, b start, b end, matches)."""
     n = len(a)
@@ -176,12 +234,33 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(pos, pa.int32())], ["h", "id", "pos"])
 
     found = materialize(base.mapInArrow(find, "h long, id long, pos int"))
-    lead = found.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "pos")).alias("x")).filter("low < high").select("h", F.col("x.id").alias("lid"), F.col("x.pos").alias("lpos"))
-    matches = found.join(lead, "h").filter("id <> lid")
-    # Bounded by a document's own seeds.
-    pairs = materialize(matches.groupBy("id", "lid").agg(F.collect_list(F.struct("pos", "lpos")).alias("m")).filter(F.size("m") >= 2), release=True)
 
-    def link(batches):
+    def led(seed: DataFrame) -> DataFrame:
+        lead = seed.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "pos")).alias("x")).filter("low < high").select("h", F.col("x.id").alias("lid"), F.col("x.pos").alias("lpos"))
+        return seed.join(lead, "h").select("id", "pos", "lid", "lpos")
+
+    def paired(matches: DataFrame, least: int) -> DataFrame:
+        # Bounded by a document's own seeds.
+        return materialize(matches.filter("id <> lid").groupBy("id", "lid").agg(F.collect_list(F.struct("pos", "lpos")).alias("m")).filter(F.size("m") >= least), release=True)
+
+    matches = materialize(led(found), release=True)
+    discard(found)
+    pairs = paired(matches, 2)
+    recurring = materialize(matches.groupBy("id").agg(F.collect_set("pos").alias("at")), release=True)
+    discard(matches)
+
+    def fill(batches):
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 20):
+                row, pos, value = windows(part.column(1), part.column(2).to_pylist(), k, w, min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(pos, pa.int32())], ["h", "id", "pos"])
+
+    with join_filters(docs.sparkSession):
+        filled = materialize(base.join(recurring, "id").select("id", "text", "at").mapInArrow(fill, "h long, id long, pos int"), release=True)
+    shared = paired(led(filled), 1)
+    discard(filled)
+
+    def link(batches, short):
         for batch in batches:
             rows = []
             lists = batch.column(2)
@@ -190,20 +269,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             x, y = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 px, py = x[off[i] : off[i + 1]], y[off[i] : off[i + 1]]
-                for path in chains(px, py, weight, gap, 1.5 * weight):
+                size = k if short else min_words
+                for path in chains(px, py, weight, gap, 1.5 * weight) if short else runs(px, py):
                     cx, cy = px[path], py[path]
-                    s1, e1 = max(0, int(cx.min()) - slack), int(cx.max()) + k + slack
-                    s2, e2 = max(0, int(cy.min()) - slack) // grid * grid, -(-(int(cy.max()) + k + slack) // grid) * grid
+                    s1, e1 = max(0, int(cx.min()) - slack), int(cx.max()) + size + slack
+                    s2, e2 = max(0, int(cy.min()) - slack) // grid * grid, -(-(int(cy.max()) + size + slack) // grid) * grid
                     rows.append((a, s1, e1, b, s2, e2, np.unique(cy - cx).tolist()))
             if rows:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, (pa.int64(),) * 6 + (pa.list_(pa.int64()),))], ["id", "s1", "e1", "lid", "s2", "e2", "diagonals"])
 
-    linked = materialize(pairs.mapInArrow(link, "id long, s1 long, e1 long, lid long, s2 long, e2 long, diagonals array<long>").repartition("id"))
-    asked = linked.select("id", F.col("s1").alias("s"), F.col("e1").alias("e")).unionByName(linked.select(F.col("lid").alias("id"), F.col("s2").alias("s"), F.col("e2").alias("e"))).distinct()
-    # A document's distinct spans: bounded by its chains as a follower, and by its grid as a leader.
-    wanted = materialize(asked.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))).filter("id > -9223372036854775808")
-
+    fields = "id long, s1 long, e1 long, lid long, s2 long, e2 long, diagonals array<long>"
+    names = [c.split()[0] for c in fields.split(", ")]
+    linked = materialize(pairs.mapInArrow(lambda batches: link(batches, True), fields).unionByName(shared.mapInArrow(lambda batches: link(batches, False), fields)).distinct().repartition("id"))
     def cut(batches):
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
@@ -218,26 +296,51 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         out.append(own[span["s"] : span["e"]])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ss, pa.int64()), pa.array(es, pa.int64()), list_array(np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum([len(o) for o in out]))), pa.int32())], ["id", "s", "e", "words"])
 
-    with join_filters(docs.sparkSession):
-        spans = materialize(base.join(wanted, "id").select("id", "text", "spans").mapInArrow(cut, "id long, s long, e long, words array<int>"), release=True)
-    # Rows that share an id: one row's words stand for it.
-    spans = spans.groupBy("id", "s", "e").agg(F.min("words").alias("words"))
-    left = spans.select("id", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("words").alias("a"))
-    right = spans.select(F.col("id").alias("lid"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("words").alias("b"))
-    both = linked.join(left, ["id", "s1", "e1"]).join(right, ["lid", "s2", "e2"]).select("id", "s1", "a", "lid", "s2", "b", "diagonals")
+    # A row is a passage, or a pair of spans to look at again, wider.
+    both_fields = f"{PASSAGES}, {fields}"
 
     def compare(batches):
         for batch in batches:
-            rows = []
-            ids, s1, lid, s2 = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            rows, more = [], []
+            ids, s1, e1, lid, s2, e2 = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
             for i in range(batch.num_rows):
-                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 5))
-                d = [x - s2[i] + s1[i] for x in batch.column(6)[i].as_py()]
-                rows += [(ids[i], s1[i] + a0, a1 - a0, lid[i], s2[i] + b0, same) for a0, a1, b0, b1, same in segments(a, b, d, min_words, min_identity)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows)], [c.split()[0] for c in PASSAGES.split(", ")])
-
-    return both.mapInArrow(compare, PASSAGES).distinct()
+                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 7))
+                along = batch.column(8)[i].as_py()
+                d = [x - s2[i] + s1[i] for x in along]
+                left, right = still_equal(a, b, d, 2 * k)
+                left &= s1[i] > 0 and s2[i] > 0
+                right &= len(a) == e1[i] - s1[i] and len(b) == e2[i] - s2[i]
+                if left or right:
+                    by = max(64, 3 * (e1[i] - s1[i]))
+                    more.append((ids[i], max(0, s1[i] - left * by), e1[i] + right * by, lid[i], max(0, s2[i] - left * by) // grid * grid, -(-(e2[i] + right * by) // grid) * grid, along))
+                else:
+                    rows += [(ids[i], s1[i] + a0, a1 - a0, lid[i], s2[i] + b0, same) for a0, a1, b0, b1, same in segments(a, b, d, min_words, min_identity)]
+            for kept, again in ((rows, False), (more, True)):
+                if kept:
+                    c = [pa.array(v, pa.list_(pa.int64()) if j == 6 else pa.int64()) for j, v in enumerate(zip(*kept))]
+                    none = pa.nulls(len(kept), pa.int64())
+                    c = [*[none] * 6, *c] if again else [*c, *[none] * 6, pa.nulls(len(kept), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(c, [f.split()[0] for f in both_fields.split(", ")])
+
+    def aligned(linked: DataFrame) -> DataFrame:
+        asked = linked.select("id", F.col("s1").alias("s"), F.col("e1").alias("e")).unionByName(linked.select(F.col("lid").alias("id"), F.col("s2").alias("s"), F.col("e2").alias("e"))).distinct()
+        # A document's distinct spans: bounded by its chains as a follower, and by its grid as a leader.
+        wanted = materialize(asked.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))).filter("id > -9223372036854775808")
+        with join_filters(docs.sparkSession):
+            spans = materialize(base.join(wanted, "id").select("id", "text", "spans").mapInArrow(cut, "id long, s long, e long, words array<int>"), release=True)
+        # Rows that share an id: one row's words stand for it.
+        spans = spans.groupBy("id", "s", "e").agg(F.min("words").alias("words"))
+        left = spans.select("id", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("words").alias("a"))
+        right = spans.select(F.col("id").alias("lid"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("words").alias("b"))
+        both = linked.join(left, ["id", "s1", "e1"]).join(right, ["lid", "s2", "e2"]).select("id", "s1", "e1", "a", "lid", "s2", "e2", "b", "diagonals")
+        return materialize(both.mapInArrow(compare, both_fields))
+
+    done = aligned(linked)
+    passages = done.filter("doc_id is not null").select(*[c.split()[0] for c in PASSAGES.split(", ")])
+    while not done.filter("id is not null").isEmpty():
+        done = aligned(materialize(done.filter("id is not null").select(*names).distinct().repartition("id")))
+        passages = passages.unionByName(done.filter("doc_id is not null").select(*passages.columns))
+    return passages.distinct()
 
 
 def _without(text: bytes, spans: list) -> str:

@@ -167,6 +167,21 @@ def test_all_passages_of_a_chain(spark):
     assert {(r.doc_id, r.other_doc_id, r.start_word, r.n_words) for r in got} == want and all(r.matches == r.n_words for r in got)
 
 
+def test_passages_whose_seeds_have_several_leaders(spark):
+    rng = np.random.default_rng(31)
+    rows = [(i, [f"u{i}_{j}" for j in range(60)]) for i in range(12)]
+    passage = list(rng.choice(WORDS, 80))
+    for i, p in ((1, passage[:40]), (2, passage[40:]), (5, passage), (9, passage)):
+        rows[i] = (i, rows[i][1] + p + rows[i][1])
+    # Of 200 shared words all but the first 60 have their seeds led by two other documents.
+    long = list(rng.choice(WORDS, 200))
+    for i, p in ((3, long[60:130]), (4, long[130:]), (6, long), (7, long)):
+        rows[i] = (i, rows[i][1] + p + rows[i][1])
+    got = repeated_passages(docs_of(spark, [(i, " ".join(p)) for i, p in rows]))
+    found = {(r.doc_id, r.other_doc_id, r.start_word, r.n_words) for r in got.collect()}
+    assert (9, 5, 60, 80) in found and (7, 6, 60, 200) in found
+
+
 def test_mixing_reaches_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(["red", "green"] if i % 3 else ["blue!", "black!"], int(rng.integers(5, 60))))) for i in range(300)] + [(300, None), (301, ""), (None, "red")]
