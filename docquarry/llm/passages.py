@@ -1,8 +1,8 @@
 """Operator 2, substring dedup: passages that recur across documents, by collinear chaining of seeds.
 
 1. Seeds: minimizers of the k-word hashes (window w), so two texts that share k + w - 1 words share a seed.
-2. Join: each seed's first occurrence (least id) leads; every other occurrence is matched with it alone, so a
-   passage in n documents makes n - 1 matches, whatever n is. The first occurrence comes from an aggregation
+2. Join: each seed's first occurrence (least id) leads; every occurrence in other documents is matched with it
+   alone, so a passage in n places makes n - 1 matches at most, whatever n is. The first occurrence comes from an aggregation
    with map-side combine; the join back is one that adaptive execution can split.
 3. Chains: the matches of a document with one leader, in order of both positions; a Fenwick tree over leader
    positions holds the best chain end before a place, gap costs are linear in the words skipped on both sides.
@@ -13,7 +13,7 @@
    cost to change diagonal; all passages of min_words at least, with min_identity of words equal, are returned.
 
 A document is never matched with itself; rows that share an id count as one document, and of these the words
-come from one row. A stretch of one word repeated holds a single seed and is no passage. Null ids take no part; null, empty and short texts have no seeds. Extra columns pass
+come from one row. Null ids take no part; null, empty and short texts have no seeds. Extra columns pass
 through remove_passages; an empty table gives an empty table.
 """
 
@@ -31,7 +31,7 @@ PASSAGES = "doc_id long, start_word long, n_words long, other_doc_id long, other
 
 
 def seeds(texts: pa.Array, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word position, hash) of each row's minimizers, the first of equal ones."""
+    """(row, word position, hash) of each row's minimizers, every occurrence."""
     h, off = words(texts)
     g, at = ngrams(h, off, k)
     if len(g) < w:
@@ -45,12 +45,8 @@ def seeds(texts: pa.Array, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.n
     for i in range(w):
         np.maximum(most[i : i + len(least)], least, out=most[i : i + len(least)])
     chosen = np.flatnonzero(most == g)
-    row, value = row_of[chosen], g[chosen]
-    order = np.lexsort((chosen, value, row))
-    row, value, chosen = row[order], value[order], chosen[order]
-    first = np.ones(len(row), bool)
-    first[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    return row[first], chosen[first] - at[row[first]], value[first]
+    row = row_of[chosen]
+    return row, chosen - at[row], g[chosen]
 
 
 def windows(texts: pa.Array, at: list, k: int, w: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -182,6 +182,25 @@ def test_passages_whose_seeds_have_several_leaders(spark):
     assert (9, 5, 60, 80) in found and (7, 6, 60, 200) in found
 
 
+def test_repeats_within_a_document(spark):
+    rng = np.random.default_rng(32)
+    passage, line = list(rng.choice(WORDS, 80)), list(rng.choice(WORDS, 20))
+    shared = {(1, 2): (passage, passage), (3, 4): (line * 15,), (5, 6): (["again"] * 300,)}
+    rows, places = [], {}
+    for (first, second), parts in shared.items():
+        rows.append((first, [f"u{first}_{j}" for j in range(60)] + parts[0] + [f"v{first}_{j}" for j in range(60)]))
+        words, places[second] = [], set()
+        for n, p in enumerate(parts):
+            words += [f"u{second}_{n}_{j}" for j in range(60)]
+            places[second] |= set(range(len(words), len(words) + len(p)))
+            words += p
+        rows.append((second, words))
+    cut = collections.defaultdict(set)
+    for r in repeated_passages(docs_of(spark, [(i, " ".join(w)) for i, w in rows])).collect():
+        cut[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+    assert cut == places
+
+
 def test_mixing_reaches_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(["red", "green"] if i % 3 else ["blue!", "black!"], int(rng.integers(5, 60))))) for i in range(300)] + [(300, None), (301, ""), (None, "red")]
