@@ -46,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substring_dedup", repeated), ("mixing", mixing), ("packing", packing)]
 
-#: Trained models, chains and a tokenizer are beyond SQL; the stages are tested against brute force.
+#: Trained models, chains and a tokenizer are beyond SQL; stages and run() are tested for columns and rows only.
 ORACLE_SQL = None
 
 
