@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that go to a Python worker at once; texts may be long, and the default of 10,000 is made for short rows.
 BATCH_ROWS = 1000
+_libc = ctypes.CDLL(None)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named (tests)."""
+    """The cluster's shared folder; where none is named (tests, one machine), one beside the warehouse, which executors share too."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="docquarry-")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-docquarry"
+        if not spark.sparkContext.master.startswith("local") and at.startswith(("file:", "/")):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -81,7 +84,14 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iter
         to = min(n, max(at + 1, to))
         yield batch.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()  # workers live on after their task
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after their task, idle beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def as_text(arr: pa.Array) -> pa.Array:

@@ -8,6 +8,7 @@ The library itself encodes every distinct run.
 from __future__ import annotations
 
 import json
+import os
 from itertools import chain
 
 import numpy as np
@@ -24,12 +25,14 @@ class RunEncoder:
     """encode(): flat uint32 ids and row offsets, add_special_tokens=False.
 
     A run is known by two 64-bit hashes of its bytes, so the cache holds no strings: sorted hashes, and for
-    each run the place of its ids.
+    each run the place of its ids. Of a full cache, the runs that came back stay.
     """
 
-    def __init__(self, path: str, max_runs: int):
+    def __init__(self, path: str, max_runs: int, max_ids: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
+        self.max_ids = max_ids
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -43,9 +46,25 @@ class RunEncoder:
     def _clear(self) -> None:
         self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.uint8)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Keep the runs that came in a second slice, at most half the bounds."""
+        keep = np.flatnonzero(self.uses > 1)
+        keep = np.sort(keep[np.argsort(-self.uses[keep].astype(int), kind="stable")[: self.max_runs // 2]])
+        size = self.size[keep].astype(np.int64)
+        keep = keep[np.cumsum(size) <= self.max_ids // 2]
+        size = self.size[keep].astype(np.int64)
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[keep] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        key, check, uses = self.key[keep], self.check[keep], self.uses[keep] // 2
+        self._clear()
+        self.key, self.check, self.start, self.size, self.uses = key, check, ends - size, size.astype(np.int32), uses
+        self.used = len(ids)
+        self.ids = np.concatenate((ids, np.zeros(1 << 16, np.uint32)))
+
     @staticmethod
     def _ends(run: str) -> int:
         """Pre-tokens of a run of Latin letters (1), with a comma or full stop after them (2); 0: unknown."""
@@ -86,7 +105,8 @@ class RunEncoder:
         self.used += len(ids)
         order = np.argsort(key, kind="stable")
         at = np.searchsorted(self.key, key[order])
-        self.key, self.check, self.start, self.size = (np.insert(old, at, new[order]) for old, new in ((self.key, key), (self.check, check), (self.start, start), (self.size, size)))
+        fresh = ((self.key, key), (self.check, check), (self.start, start), (self.size, size), (self.uses, np.zeros(len(key), np.uint8)))
+        self.key, self.check, self.start, self.size, self.uses = (np.insert(old, at, new[order]) for old, new in fresh)
 
     def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Places of the runs in the cache; -1: not there."""
@@ -98,8 +118,8 @@ class RunEncoder:
         return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.key) > self.max_runs:
-            self._clear()
+        if len(self.key) > self.max_runs or self.used > self.max_ids:
+            self._shrink()
         texts = as_text(texts)
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # the library lower-cases, but special tokens are matched before
             texts = pc.ascii_lower(texts)
@@ -113,6 +133,7 @@ class RunEncoder:
             at = self._find(key, check)
             if (at < 0).any():
                 raise RuntimeError("two runs share a 64-bit hash")
+        self.uses[at] += self.uses[at] < 255
         at = at[coded.indices.to_numpy(zero_copy_only=False)]
         size, start = self.size[at].astype(np.int64), self.start[at]
         ends = np.concatenate(([0], np.cumsum(size)))
@@ -120,9 +141,9 @@ class RunEncoder:
         return self.ids[place], ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
 
 
-def encoder(path: str, max_runs: int = 1_000_000) -> RunEncoder:
-    """This process's encoder for a vocabulary file; max_runs bounds its memory (about 50 bytes a run)."""
+def encoder(path: str, max_runs: int = 200_000, max_ids: int = 2_000_000) -> RunEncoder:
+    """This process's encoder for a vocabulary file. Its cache holds max_runs runs (33 bytes each) and max_ids ids (4 bytes), and one slice's more."""
     key = (path, max_runs)
     if key not in _encoders:
-        _encoders[key] = RunEncoder(path, max_runs)
+        _encoders[key] = RunEncoder(path, max_runs, max_ids)
     return _encoders[key]

@@ -5,7 +5,7 @@ of about group_docs, and each group is packed alone. Within a group, remainders
 the sequence of lowest estimated cost (linear * tokens + quadratic * sum of squared piece lengths) that has
 room; with ceil(tokens / capacity) sequences open, what fits nowhere whole is cut to fill the gaps, so a
 group pads at most one sequence. Null and empty texts pack as their end id; rows with repeated ids are
-packed each (doc_row tells them apart); an empty table gives an empty table. Extra columns are ignored.
+packed each, equal rows dealt to different groups; an empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +77,16 @@ def balance(sizes: np.ndarray, capacity: int, linear: float = 1.0, quadratic: fl
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_docs: int = 8192, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_docs: int = 4096, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> DataFrame:
     """One row for each piece (PIECES). Reads the texts once; only remainders are shuffled, at most 4 bytes an id."""
     groups = max(1, -(-docs.count() // group_docs))
 
     def encode(batches):
+        # Equal rows are told apart by their place among their equals in the task, so a row's group does not hang on row order.
+        equals: dict[tuple, int] = {}
+        here = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 20):
                 ids, off = encoder(tokenizer_path).encode(part.column(1))
                 rows = [np.append(ids[off[i] : off[i + 1]], np.uint32(end_id)).astype("<u4") for i in range(part.num_rows)]
                 sizes = np.array([len(r) for r in rows], np.int64)
@@ -90,9 +94,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                 crcs = np.array([zlib.crc32(r[j * capacity : (j + 1) * capacity]) for r, w in zip(rows, whole) for j in range(w)], np.int64)
                 tails = [r[w * capacity :] for r, w in zip(rows, whole)]
                 tail_off = np.concatenate(([0], np.cumsum([len(t) for t in tails])))
+                whole_crcs = [zlib.crc32(r) for r in rows]
+                salts = []
+                for key in zip(part.column(0).to_pylist(), whole_crcs):
+                    equals[key] = equals.get(key, -1) + 1
+                    salts.append(here | equals[key])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), list_array(crcs, np.concatenate(([0], np.cumsum(whole))), pa.int64()), binary_array(np.concatenate(tails), tail_off), pa.array([zlib.crc32(r) for r in rows], pa.int64())],
-                    ["doc_id", "doc_tokens", "full_crcs", "tail", "salt"],
+                    [part.column(0), pa.array(sizes), list_array(crcs, np.concatenate(([0], np.cumsum(whole))), pa.int64()), binary_array(np.concatenate(tails), tail_off), pa.array(whole_crcs, pa.int64()), pa.array(salts, pa.int64())],
+                    ["doc_id", "doc_tokens", "full_crcs", "tail", "crc", "salt"],
                 )
 
     def place(table: pa.Table) -> pa.Table:
@@ -114,6 +123,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 7, names)
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    coded = read.mapInArrow(encode, "doc_id long, doc_tokens long, full_crcs array<long>, tail binary, salt long")
-    dealt = coded.withColumn("grp", F.pmod(F.xxhash64("doc_id", "doc_tokens", "salt"), F.lit(groups)))
-    return dealt.drop("salt").groupBy("grp").applyInArrow(place, PIECES)
+    coded = read.mapInArrow(encode, "doc_id long, doc_tokens long, full_crcs array<long>, tail binary, crc long, salt long")
+    dealt = coded.withColumn("grp", F.pmod(F.xxhash64("doc_id", "crc", "salt"), F.lit(groups)))
+    return dealt.drop("crc", "salt").groupBy("grp").applyInArrow(place, PIECES)
