@@ -1,75 +1,103 @@
 """Operator 2, substring dedup: passages that recur across documents, by collinear chaining of seeds.
 
-1. Seeds: minimizers of the k-word hashes (window w), so two texts that share k + w - 1 words share a seed.
-2. Join: each seed's first occurrence (least id) leads; every occurrence in other documents is matched with it
-   alone, so a passage in n places makes n - 1 matches at most, whatever n is. The first occurrence comes from an aggregation
-   with map-side combine; the join back is one that adaptive execution can split.
-3. Chains: the matches of a document with one leader, in order of both positions; a Fenwick tree over leader
-   positions holds the best chain end before a place, gap costs are linear in the words skipped on both sides.
-4. Windows: where recurring seeds follow each other without gaps, every window of min_words words is a seed too,
-   led by the first document that holds all of it: an exact passage is found whoever leads its short seeds.
-5. Alignment: chains and windows are widened by k + w words, and further, in rounds, on sides that still match
-   at the edge; the words of both sides are fetched, and aligned along the chain's diagonals, +1 a match, -2 a mismatch, with a
-   cost to change diagonal; all passages of min_words at least, with min_identity of words equal, are returned.
-
-A document is never matched with itself; rows that share an id count as one document, and of these the words
-come from one row. Null ids take no part; null, empty and short texts have no seeds. Extra columns pass
-through remove_passages; an empty table gives an empty table.
+1. Seeds: closed syncmers, the k-word runs whose least-hashed word stands first or last. Which runs these are
+   hangs on their own words alone, so two texts that share a run share its seed, and k - 1 runs in sequence hold one
+   at least: the seeds of an exactly shared stretch overlap each other.
+2. Join: each seed's first occurrence (least row) leads; every occurrence in other rows is matched with it alone,
+   so a passage in n places makes n - 1 matches at most, whatever n is. The first occurrence comes from an
+   aggregation with map-side combine; the join back is one that adaptive execution can split. Seeds go through in
+   slices of their hashes, which bounds the shuffle files on disk.
+3. Chains: the matches of a row with one leader, as blocks of unbroken runs along a diagonal, in order of both
+   positions; a Fenwick tree over leader positions holds the best chain end before a place, gap costs are linear in
+   the words skipped on both sides.
+4. Windows: where seeds recur one after another but have several leaders or diagonals, every window of min_words
+   words that no single run of one leader covers is a seed too, led by the first row that holds all of it. So an
+   exact passage is found whoever leads its short seeds: if one leader holds all of its seeds in place, it holds
+   the passage, and the chain finds it; else both rows emit the window.
+5. Alignment: chains and windows are widened, and further, in rounds, on sides that still match at the edge; the
+   words of both sides are fetched, and aligned along the chain's diagonals, +1 a match, -2 a mismatch, with a
+   cost to change diagonal and a break where the score drops by more than DROP; all passages of min_words at least, with min_identity of words equal, are returned.
+
+A row is known by its id and a checksum of its text: rows of one id but other texts are matched and cut each for
+itself, in the order of the checksum; rows equal in both count as one. A row is never matched with itself, but may be with
+one of its id. Null ids take no part; null, empty and short texts have no seeds. Exact passages are all found;
+one with edits needs two seeds in common with a first holder (README: measured recall). Extra columns pass through
+remove_passages; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.base import discard, join_filters, list_array, materialize, slices
+from docquarry.llm.base import bytes_of, discard, join_filters, list_array, materialize, slices
 from docquarry.llm.wordhash import _SPACE, ngrams, words
 
-PASSAGES = "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long, matches long"
+PASSAGES = "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long, matches long, text_crc int"
+DROP = 40
+SLICES = 8  # a power of two: seeds of one slice share the top bits of their hashes
+
+
+def checksums(texts: pa.Array) -> np.ndarray:
+    """31-bit checksums of the rows' bytes."""
+    data, off = bytes_of(texts)
+    raw = memoryview(data)
+    return np.fromiter((zlib.crc32(raw[a:b]) & 0x7FFFFFFF for a, b in zip(off[:-1].tolist(), off[1:].tolist())), np.int64, len(off) - 1)
 
 
-def seeds(texts: pa.Array, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word position, hash) of each row's minimizers, every occurrence."""
+def seeds(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word position, hash) of each row's closed syncmers, every occurrence."""
     h, off = words(texts)
     g, at = ngrams(h, off, k)
-    if len(g) < w:
+    if not len(g):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = g[: len(g) - w + 1].copy()
-    for i in range(1, w):
-        np.minimum(least, g[i : len(g) - w + 1 + i], out=least)
+    least = h[: len(h) - k + 1].copy()
+    for i in range(1, k):
+        np.minimum(least, h[i : len(h) - k + 1 + i], out=least)
     row_of = np.repeat(np.arange(len(off) - 1), np.diff(at))
-    least[row_of[: len(least)] != row_of[w - 1 :]] = 0  # windows over a row's end choose nothing
-    most = np.zeros(len(g), np.uint64)
-    for i in range(w):
-        np.maximum(most[i : i + len(least)], least, out=most[i : i + len(least)])
-    chosen = np.flatnonzero(most == g)
+    first = off[row_of] + np.arange(len(g)) - at[row_of]
+    chosen = np.flatnonzero((h[first] == least[first]) | (h[first + k - 1] == least[first]))
     row = row_of[chosen]
     return row, chosen - at[row], g[chosen]
 
 
-def windows(texts: pa.Array, at: list, k: int, w: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word position, hash) of the size-word windows that recurring seeds at the given places fill.
+def open_windows(pos: np.ndarray, label: np.ndarray, k: int, size: int) -> list[tuple[int, int]]:
+    """Ranges (from, to) of window starts that recurring seeds fill and that no run of one label covers.
 
-    In a shared window no seed is w words or more from the next, or from the window's ends. Of copies that overlap
-    each other (periodic text) one in size words stays, and the last.
+    pos: ascending word positions of a row's recurring seeds. The ends may lie outside the text.
+    """
+    near, found = k - 1, []
+    if not len(pos):
+        return found
+    for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > near) + 1):
+        lo, hi = int(pos[part[0]]) - near + 1, int(pos[part[-1]]) + k + near - 1 - size
+        if hi < lo:
+            continue
+        mine = label[part]
+        cut = np.flatnonzero((mine[1:] != mine[:-1]).any(1)) + 1 if mine.ndim > 1 else np.flatnonzero(mine[1:] != mine[:-1]) + 1
+        for run in np.split(part, cut):
+            a, b = int(pos[run[0]]), int(pos[run[-1]]) + k - size
+            if b >= a:
+                if a > lo:
+                    found.append((lo, a))
+                lo = b + 1
+        if hi >= lo:
+            found.append((lo, hi + 1))
+    return found
+
+
+def windows(texts: pa.Array, ranges: list, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word position, hash) of the size-word windows that start in the rows' ranges.
+
+    Of copies that overlap each other (periodic text) one in size words stays, and the last.
     """
     h, off = words(texts)
     g, first = ngrams(h, off, size)
-    rows = []
-    for i, places in enumerate(at):
-        n = int(off[i + 1] - off[i])
-        if n < size:
-            continue
-        near = np.zeros(n + 1, np.int64)
-        p = np.array(places, np.int64)
-        np.add.at(near, np.maximum(p - w + 1, 0), 1)
-        np.add.at(near, np.minimum(p + w, n), -1)
-        filled = np.concatenate(([0], np.cumsum(np.cumsum(near) > 0)))
-        inner = size - k + 1
-        start = np.arange(n - size + 1)
-        rows.append(first[i] + start[filled[start + inner] - filled[start] == inner])
+    rows = [np.arange(max(0, a), min(b, int(n))) + at for spans, at, n in zip(ranges, first[:-1], np.diff(first)) for a, b in spans]
     chosen = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     row = np.searchsorted(first, chosen, side="right") - 1
     value = g[chosen]
@@ -86,6 +114,13 @@ def windows(texts: pa.Array, at: list, k: int, w: int, size: int) -> tuple[np.nd
     return row[kept], pos[kept], value[kept]
 
 
+def blocks(x: np.ndarray, y: np.ndarray, step: int) -> list[np.ndarray]:
+    """Places of the matches of each unbroken run along one diagonal: at most step words from one to the next."""
+    order = np.lexsort((x, y - x))
+    x, d = x[order], (y - x)[order]
+    return np.split(order, np.flatnonzero((d[1:] != d[:-1]) | (x[1:] - x[:-1] > step)) + 1)
+
+
 def still_equal(a: np.ndarray, b: np.ndarray, diagonals: list[int], n: int) -> tuple[bool, bool]:
     """Whether half of the first n words, and of the last, that lie inside both are equal on some diagonal."""
     left = right = False
@@ -98,33 +133,39 @@ def still_equal(a: np.ndarray, b: np.ndarray, diagonals: list[int], n: int) -> t
     return left, right
 
 
-def chains(x: np.ndarray, y: np.ndarray, weight: float, gap: float, least: float) -> list[np.ndarray]:
-    """Places of the matches of each chain; x, y: positions on both sides.
+def chains(x: np.ndarray, y: np.ndarray, size: np.ndarray, gap: float, least: float, far: int) -> list[np.ndarray]:
+    """Places of the blocks of each chain; block i spans size[i] words from x[i] and y[i].
 
-    best(i) = weight + max(0, max over x_j < x_i, y_j < y_i of best(j) - gap * (x_i - x_j + y_i - y_j)).
+    best(i) = size_i + max(0, max over blocks j that end before i on both sides of best(j) - gap * (words between on
+    both sides)); a chain breaks where more than far words lie between on either side.
     """
-    order = np.lexsort((-y, x))  # of equal x the larger y first, so that none precedes another
-    rank = np.unique(y, return_inverse=True)[1] + 1
-    size = int(rank.max())
-    tree: list[tuple[float, int]] = [(-np.inf, -1)] * (size + 1)
+    xe, ye = x + size, y + size
+    rank = np.unique(ye, return_inverse=True)[1] + 1
+    below = np.searchsorted(np.unique(ye), y, side="right").tolist()  # ends at or before this start
+    top_rank = int(rank.max())
+    tree: list[tuple[float, int]] = [(-np.inf, -1)] * (top_rank + 1)
     score, before = [0.0] * len(x), [-1] * len(x)
-    xs, ys, rs = x.tolist(), y.tolist(), rank.tolist()
-    for i in order.tolist():
-        at, top = rs[i] - 1, (-np.inf, -1)
-        while at > 0:
-            if tree[at] > top:
-                top = tree[at]
-            at &= at - 1
-        here = gap * (xs[i] + ys[i])
-        score[i] = weight
-        if top[0] - here > 0:
-            score[i], before[i] = weight + top[0] - here, top[1]
-        held = (score[i] + here, i)
-        at = rs[i]
-        while at <= size:
-            if held > tree[at]:
-                tree[at] = held
-            at += at & -at
+    xs, ys, ws, rs = x.tolist(), y.tolist(), size.tolist(), rank.tolist()
+    # Ends come before starts at the same place: a block may begin where another ends.
+    events = sorted([(int(e), 0, i) for i, e in enumerate(xe)] + [(s, 1, i) for i, s in enumerate(xs)])
+    for _, start, i in events:
+        if start:
+            at, top = below[i], (-np.inf, -1)
+            while at > 0:
+                if tree[at] > top:
+                    top = tree[at]
+                at &= at - 1
+            here = gap * (xs[i] + ys[i])
+            score[i] = ws[i]
+            if top[0] - here > 0:
+                score[i], before[i] = ws[i] + top[0] - here, top[1]
+        else:
+            held = (score[i] + gap * (xs[i] + ys[i] + 2 * ws[i]), i)
+            at = rs[i]
+            while at <= top_rank:
+                if held > tree[at]:
+                    tree[at] = held
+                at += at & -at
     used = [False] * len(x)
     found = []
     for i in sorted(range(len(x)), key=lambda i: -score[i]):
@@ -134,18 +175,16 @@ def chains(x: np.ndarray, y: np.ndarray, weight: float, gap: float, least: float
             used[j] = True
             path.append(j)
             j = before[j]
-        if path and score[path[0]] - (score[j] if j >= 0 else 0) >= least:
-            found.append(np.array(path[::-1]))
+        path = path[::-1]
+        far_apart = [n for n in range(1, len(path)) if max(xs[path[n]] - xe[path[n - 1]], ys[path[n]] - ye[path[n - 1]]) > far]
+        for part in np.split(np.array(path, np.int64), far_apart):
+            if len(part):
+                between = (x[part[-1]] - x[part[0]]) + (y[part[-1]] - y[part[0]]) - 2 * size[part[:-1]].sum()
+                if size[part].sum() - gap * between >= least:
+                    found.append(part)
     return found
 
 
-def runs(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Places of the matches of each unbroken run along one diagonal."""
-    order = np.lexsort((x, y - x))
-    x, d = x[order], (y - x)[order]
-    return np.split(order, np.flatnonzero((d[1:] != d[:-1]) | (x[1:] != x[:-1] + 1)) + 1)
-
-
 def align(a: np.ndarray, b: np.ndarray, diagonals: list[int], mismatch: int = -2, jump: int = -4) -> tuple[int, int, int, int, int]:
     """The best local alignment along the diagonals (b's place minus a's): (a start, a end, b start, b end, matches)."""
     n = len(a)
@@ -160,26 +199,34 @@ def align(a: np.ndarray, b: np.ndarray, diagonals: list[int], mismatch: int = -2
         # The last lowest place before the end starts the segment.
         start = end - int(total[: end + 1][::-1].argmin()) if end else 0
         d = diagonals[0]
+        inner = total[start : end + 1]
+        fall = np.maximum.accumulate(inner) - inner
+        if fall.max() > DROP:  # the better side of the deepest fall
+            low = int(fall.argmax())
+            peak = int(inner[:low].argmax())
+            sides = [(lo, hi, align(a[lo:hi], b, [d + lo], mismatch, jump)) for lo, hi in ((start, start + peak), (start + low, end))]
+            lo, hi, best = max(sides, key=lambda x: x[2][4] + mismatch * (x[2][1] - x[2][0] - x[2][4]))
+            return best[0] + lo, best[1] + lo, *best[2:]
         return start, end, start + d, end + d, int(equal[start:end, 0].sum())
     count = len(diagonals)
     score, begin = [0] * count, [(0, d) for d in diagonals]
-    hits = [0] * count
+    hits, peak = [0] * count, [0] * count
     best = (0, 0, 0, 0, 0, 0)
     rows = equal.tolist()
     for i in range(n):
         top = max(range(count), key=score.__getitem__)
-        s_top, b_top, h_top = score[top], begin[top], hits[top]
+        s_top, b_top, h_top, p_top = score[top], begin[top], hits[top], peak[top]
         for c in range(count):
-            s, from_, h = score[c], begin[c], hits[c]
+            s, from_, h, most = score[c], begin[c], hits[c], peak[c]
             if c != top and s_top + jump > s:
-                s, from_, h = s_top + jump, b_top, h_top
-            if s <= 0:
-                s, from_, h = 0, (i, i + diagonals[c]), 0
+                s, from_, h, most = s_top + jump, b_top, h_top, p_top
+            if s <= 0 or most - s > DROP:
+                s, from_, h, most = 0, (i, i + diagonals[c]), 0, 0
             if rows[i][c]:
                 s, h = s + 1, h + 1
             else:
                 s += mismatch
-            score[c], begin[c], hits[c] = s, from_, h
+            score[c], begin[c], hits[c], peak[c] = s, from_, h, max(most, s)
             if s > best[0]:
                 best = (s, from_[0], i + 1, from_[1], i + 1 + diagonals[c], h)
     return best[1:]
@@ -218,123 +265,172 @@ def segments(a: np.ndarray, b: np.ndarray, diagonals: list[int], min_words: int,
     return sorted(found)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, w: int = 12, min_words: int = 50, min_identity: float = 0.8, weight: float = 16.0, gap: float = 0.25) -> DataFrame:
-    """One row (PASSAGES) for each passage that a document shares with an earlier one."""
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, min_words: int = 50, min_identity: float = 0.8, gap: float = 0.1, far: int = 100) -> DataFrame:
+    """One row (PASSAGES) for each passage that a row shares with an earlier one; text_crc tells rows of one id apart."""
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    slack, grid = k + w, 16
+    slack, grid, shift = 16, 16, np.uint64(64 - SLICES.bit_length() + 1)
 
     def find(batches):
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
-                row, pos, value = seeds(part.column(1), k, w)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(pos, pa.int32())], ["h", "id", "pos"])
+                row, pos, value = seeds(part.column(1), k)
+                columns = [part.column(0), pa.array(checksums(part.column(1)), pa.int32())]
+                of = value >> shift
+                for i in range(SLICES):
+                    mine = of == i
+                    ends = np.concatenate(([0], np.cumsum(np.bincount(row[mine], minlength=part.num_rows))))
+                    columns += [list_array(value[mine].view(np.int64), ends, pa.int64()), list_array(pos[mine], ends, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "crc", *(f"{c}{i}" for i in range(SLICES) for c in "hp")])
 
-    found = materialize(base.mapInArrow(find, "h long, id long, pos int"))
+    found = materialize(base.mapInArrow(find, "id long, crc int, " + ", ".join(f"h{i} array<long>, p{i} array<int>" for i in range(SLICES))))
 
     def led(seed: DataFrame) -> DataFrame:
-        lead = seed.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "pos")).alias("x")).filter("low < high").select("h", F.col("x.id").alias("lid"), F.col("x.pos").alias("lpos"))
-        return seed.join(lead, "h").select("id", "pos", "lid", "lpos")
-
-    def paired(matches: DataFrame, least: int) -> DataFrame:
-        # Bounded by a document's own seeds.
-        return materialize(matches.filter("id <> lid").groupBy("id", "lid").agg(F.collect_list(F.struct("pos", "lpos")).alias("m")).filter(F.size("m") >= least), release=True)
-
-    matches = materialize(led(found), release=True)
+        """Each occurrence of a seed of several rows with its first; that one with itself."""
+        lead = seed.groupBy("h").agg(F.min(F.struct("id", "crc", "pos")).alias("x"), F.max(F.struct("id", "crc")).alias("y")).filter("x.id < y.id OR x.crc < y.crc")
+        return seed.join(lead.select("h", F.col("x.id").alias("lid"), F.col("x.crc").alias("lcrc"), F.col("x.pos").alias("lpos")), "h").select("id", "crc", "pos", "lid", "lcrc", "lpos")
+
+    matches, parts = None, []
+    for i in range(SLICES):
+        seed = found.filter(F.size(f"h{i}") > 0).select("id", "crc", F.inline(F.arrays_zip(F.col(f"h{i}").alias("h"), F.col(f"p{i}").alias("pos"))))
+        parts.append(materialize(led(seed), release=True))
+        matches = parts[-1] if matches is None else matches.unionByName(parts[-1])
     discard(found)
-    pairs = paired(matches, 2)
-    recurring = materialize(matches.groupBy("id").agg(F.collect_set("pos").alias("at")), release=True)
-    discard(matches)
+
+    def gathered(matches: DataFrame) -> DataFrame:
+        # Bounded by a row's own seeds; a set, for rows that are equal.
+        return matches.groupBy("id", "crc").agg(F.collect_set(F.struct("pos", "lid", "lcrc", "lpos")).alias("m"))
+
+    pair = "s1 long, e1 long, lid long, lcrc int, s2 long, e2 long, diagonals array<long>"
+    names = [c.split()[0] for c in pair.split(", ")]
+
+    def link(short):
+        def run(batches):
+            for batch in batches:
+                lists = batch.column(2)
+                off = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+                flat = lists.flatten()
+                pos, lid, lcrc, lpos = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+                links, wide = [], []
+                for i, (key, crc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                    at = slice(off[i], off[i + 1])
+                    order = np.lexsort((pos[at], lcrc[at], lid[at]))
+                    x, a, c, y = (v[at][order] for v in (pos, lid, lcrc, lpos))
+                    rows = []
+                    for part in np.split(np.arange(len(x)), np.flatnonzero((a[1:] != a[:-1]) | (c[1:] != c[:-1])) + 1):
+                        if (a[part[0]], c[part[0]]) == (key, crc) or len(part) < 1 + short:
+                            continue
+                        px, py = x[part], y[part]
+                        size = k if short else min_words
+                        runs = blocks(px, py, k - 1 if short else 1)
+                        bx, by = (np.array([v[r[0]] for r in runs]) for v in (px, py))
+                        words_of = np.array([px[r[-1]] - px[r[0]] + size for r in runs])
+                        for path in chains(bx, by, words_of, gap, 2 * k, far) if short else [[j] for j in range(len(runs))]:
+                            x0, x1 = int(bx[path].min()), int((bx[path] + words_of[path]).max())
+                            y0, y1 = int(by[path].min()), int((by[path] + words_of[path]).max())
+                            rows.append(dict(zip(names, (max(0, x0 - slack), x1 + slack, int(a[part[0]]), int(c[part[0]]), max(0, y0 - slack) // grid * grid, -(-(y1 + slack) // grid) * grid, np.unique(by[path] - bx[path]).tolist()))))
+                    links.append(rows)
+                    order = np.argsort(x, kind="stable")
+                    wide.append([{"lo": lo, "hi": hi} for lo, hi in open_windows(x[order], np.column_stack((a, c, y - x))[order], k, min_words)] if short else [])
+                kinds = {"diagonals": pa.list_(pa.int64()), "lcrc": pa.int32()}
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(links, pa.list_(pa.struct([(n, kinds.get(n, pa.int64())) for n in names]))), pa.array(wide, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
+                    ["id", "crc", "links", "wide"],
+                )
+
+        return run
+
+    fields = f"id long, crc int, links array<struct<{pair.replace(' ', ':').replace(',:', ',')}>>, wide array<struct<lo:long,hi:long>>"
+    told = materialize(gathered(matches).mapInArrow(link(True), fields), release=True)
+    for part in parts:
+        discard(part)
 
     def fill(batches):
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
-                row, pos, value = windows(part.column(1), part.column(2).to_pylist(), k, w, min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(pos, pa.int32())], ["h", "id", "pos"])
+                # The row of this text, of those with this id.
+                part = part.filter(pa.array(checksums(part.column(1)) == part.column(2).to_numpy()))
+                row, pos, value = windows(part.column(1), [[(s["lo"], s["hi"]) for s in spans] for spans in part.column(3).to_pylist()], min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array(pos, pa.int32())], ["h", "id", "crc", "pos"])
 
+    unsettled = told.filter(F.size("wide") > 0).select("id", "crc", "wide")
     with join_filters(docs.sparkSession):
-        filled = materialize(base.join(recurring, "id").select("id", "text", "at").mapInArrow(fill, "h long, id long, pos int"), release=True)
-    shared = paired(led(filled), 1)
+        filled = materialize(base.join(unsettled, "id").select("id", "text", "crc", "wide").mapInArrow(fill, "h long, id long, crc int, pos int"), release=True)
+    # Of the windows' matches only those with other rows count: each row's windows with its leaders.
+    shared = gathered(led(filled)).mapInArrow(link(False), fields)
+    links = told.select("id", "crc", F.inline("links")).unionByName(shared.select("id", "crc", F.inline("links")))
+    linked = materialize(links.distinct().repartition("id"), release=True)
+    discard(told)
     discard(filled)
 
-    def link(batches, short):
-        for batch in batches:
-            rows = []
-            lists = batch.column(2)
-            off = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            x, y = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                px, py = x[off[i] : off[i + 1]], y[off[i] : off[i + 1]]
-                size = k if short else min_words
-                for path in chains(px, py, weight, gap, 1.5 * weight) if short else runs(px, py):
-                    cx, cy = px[path], py[path]
-                    s1, e1 = max(0, int(cx.min()) - slack), int(cx.max()) + size + slack
-                    s2, e2 = max(0, int(cy.min()) - slack) // grid * grid, -(-(int(cy.max()) + size + slack) // grid) * grid
-                    rows.append((a, s1, e1, b, s2, e2, np.unique(cy - cx).tolist()))
-            if rows:
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, (pa.int64(),) * 6 + (pa.list_(pa.int64()),))], ["id", "s1", "e1", "lid", "s2", "e2", "diagonals"])
-
-    fields = "id long, s1 long, e1 long, lid long, s2 long, e2 long, diagonals array<long>"
-    names = [c.split()[0] for c in fields.split(", ")]
-    linked = materialize(pairs.mapInArrow(lambda batches: link(batches, True), fields).unionByName(shared.mapInArrow(lambda batches: link(batches, False), fields)).distinct().repartition("id"))
     def cut(batches):
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
+                part = part.filter(pa.array(checksums(part.column(1)) == part.column(2).to_numpy()))
                 h, off = words(part.column(1))
-                ids, ss, es, out = [], [], [], []
-                for i, (key, spans) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
+                ids, crcs, ss, es, out = [], [], [], [], []
+                for i, (key, crc, spans) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 2, 3)))):
                     own = (h[off[i] : off[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                     for span in spans:
                         ids.append(key)
+                        crcs.append(crc)
                         ss.append(span["s"])
                         es.append(span["e"])
                         out.append(own[span["s"] : span["e"]])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ss, pa.int64()), pa.array(es, pa.int64()), list_array(np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum([len(o) for o in out]))), pa.int32())], ["id", "s", "e", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(crcs, pa.int32()), pa.array(ss, pa.int64()), pa.array(es, pa.int64()), list_array(np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum([len(o) for o in out]))), pa.int32())],
+                    ["id", "crc", "s", "e", "words"],
+                )
 
     # A row is a passage, or a pair of spans to look at again, wider.
-    both_fields = f"{PASSAGES}, {fields}"
+    again_fields = f"id long, crc int, {pair}"
+    both_fields = f"{PASSAGES}, {again_fields}"
+    width, again_width = len(PASSAGES.split(", ")), len(again_fields.split(", "))
+    kinds = {"text_crc": pa.int32(), "crc": pa.int32(), "lcrc": pa.int32(), "diagonals": pa.list_(pa.int64())}
+    types = [kinds.get(f.split()[0], pa.int64()) for f in both_fields.split(", ")]
 
     def compare(batches):
         for batch in batches:
             rows, more = [], []
-            ids, s1, e1, lid, s2, e2 = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
+            ids, crc, s1, e1, lid, lcrc, s2, e2 = (batch.column(i).to_pylist() for i in range(8))
             for i in range(batch.num_rows):
-                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 7))
+                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (9, 10))
                 along = batch.column(8)[i].as_py()
                 d = [x - s2[i] + s1[i] for x in along]
-                left, right = still_equal(a, b, d, 2 * k)
+                left, right = still_equal(a, b, d, 16)
                 left &= s1[i] > 0 and s2[i] > 0
                 right &= len(a) == e1[i] - s1[i] and len(b) == e2[i] - s2[i]
                 if left or right:
                     by = max(64, 3 * (e1[i] - s1[i]))
-                    more.append((ids[i], max(0, s1[i] - left * by), e1[i] + right * by, lid[i], max(0, s2[i] - left * by) // grid * grid, -(-(e2[i] + right * by) // grid) * grid, along))
+                    more.append((ids[i], crc[i], max(0, s1[i] - left * by), e1[i] + right * by, lid[i], lcrc[i], max(0, s2[i] - left * by) // grid * grid, -(-(e2[i] + right * by) // grid) * grid, along))
                 else:
-                    rows += [(ids[i], s1[i] + a0, a1 - a0, lid[i], s2[i] + b0, same) for a0, a1, b0, b1, same in segments(a, b, d, min_words, min_identity)]
+                    rows += [(ids[i], s1[i] + a0, a1 - a0, lid[i], s2[i] + b0, same, crc[i]) for a0, a1, b0, b1, same in segments(a, b, d, min_words, min_identity)]
             for kept, again in ((rows, False), (more, True)):
                 if kept:
-                    c = [pa.array(v, pa.list_(pa.int64()) if j == 6 else pa.int64()) for j, v in enumerate(zip(*kept))]
-                    none = pa.nulls(len(kept), pa.int64())
-                    c = [*[none] * 6, *c] if again else [*c, *[none] * 6, pa.nulls(len(kept), pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(c, [f.split()[0] for f in both_fields.split(", ")])
+                    own = list(zip(*kept))
+                    own = own if not again else [None] * width + own
+                    yield pa.RecordBatch.from_arrays([pa.array(own[j], t) if j < len(own) and own[j] is not None else pa.nulls(len(kept), t) for j, t in enumerate(types)], [f.split()[0] for f in both_fields.split(", ")])
 
     def aligned(linked: DataFrame) -> DataFrame:
-        asked = linked.select("id", F.col("s1").alias("s"), F.col("e1").alias("e")).unionByName(linked.select(F.col("lid").alias("id"), F.col("s2").alias("s"), F.col("e2").alias("e"))).distinct()
-        # A document's distinct spans: bounded by its chains as a follower, and by its grid as a leader.
-        wanted = materialize(asked.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))).filter("id > -9223372036854775808")
+        asked = linked.select("id", "crc", F.col("s1").alias("s"), F.col("e1").alias("e")).unionByName(linked.select(F.col("lid").alias("id"), F.col("lcrc").alias("crc"), F.col("s2").alias("s"), F.col("e2").alias("e"))).distinct()
+        # A row's distinct spans: bounded by its chains as a follower, and by its grid as a leader.
+        asked = materialize(asked.groupBy("id", "crc").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+        wanted = asked.filter("id > -9223372036854775808")  # where Spark's join filter looks for a condition
         with join_filters(docs.sparkSession):
-            spans = materialize(base.join(wanted, "id").select("id", "text", "spans").mapInArrow(cut, "id long, s long, e long, words array<int>"), release=True)
-        # Rows that share an id: one row's words stand for it.
-        spans = spans.groupBy("id", "s", "e").agg(F.min("words").alias("words"))
-        left = spans.select("id", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("words").alias("a"))
-        right = spans.select(F.col("id").alias("lid"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("words").alias("b"))
-        both = linked.join(left, ["id", "s1", "e1"]).join(right, ["lid", "s2", "e2"]).select("id", "s1", "e1", "a", "lid", "s2", "e2", "b", "diagonals")
-        return materialize(both.mapInArrow(compare, both_fields))
+            spans = base.join(wanted, "id").select("id", "text", "crc", "spans").mapInArrow(cut, "id long, crc int, s long, e long, words array<int>")
+            # Equal rows give equal spans. Written, so that the joins below read plain shuffles, which can be split.
+            spans = materialize(spans.groupBy("id", "crc", "s", "e").agg(F.first("words").alias("words")), release=True)
+        left = spans.select("id", "crc", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("words").alias("a"))
+        right = spans.select(F.col("id").alias("lid"), F.col("crc").alias("lcrc"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("words").alias("b"))
+        both = linked.join(left, ["id", "crc", "s1", "e1"]).join(right, ["lid", "lcrc", "s2", "e2"]).select("id", "crc", *names, "a", "b")
+        out = materialize(both.mapInArrow(compare, both_fields), release=True)
+        for table in (asked, spans, linked):
+            discard(table)
+        return out
 
     done = aligned(linked)
     passages = done.filter("doc_id is not null").select(*[c.split()[0] for c in PASSAGES.split(", ")])
     while not done.filter("id is not null").isEmpty():
-        done = aligned(materialize(done.filter("id is not null").select(*names).distinct().repartition("id")))
+        done = aligned(materialize(done.filter("id is not null").select("id", "crc", *names).distinct().repartition("id")))
         passages = passages.unionByName(done.filter("doc_id is not null").select(*passages.columns))
     return passages.distinct()
 
@@ -356,9 +452,10 @@ def _without(text: bytes, spans: list) -> str:
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the passages (doc_id, start_word, n_words); the earlier document keeps its copy. No row goes."""
-    spans = passages.groupBy(F.col("doc_id").alias("__dq_id")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__dq_spans"))
-    marked = docs.withColumn("__dq_id", F.col(id_col).cast("long")).join(spans, "__dq_id", "left")
+    """docs without the passages, each cut from the rows of its doc_id and text_crc; the earlier row keeps its copy. No row goes."""
+    spans = passages.groupBy(F.col("doc_id").alias("__dq_id"), F.col("text_crc").cast("long").alias("__dq_crc")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__dq_spans"))
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).bitwiseAND(0x7FFFFFFF)
+    marked = docs.withColumn("__dq_id", F.col(id_col).cast("long")).withColumn("__dq_crc", crc).join(spans, ["__dq_id", "__dq_crc"], "left")
     columns = docs.columns
     place = columns.index(text_col)
 

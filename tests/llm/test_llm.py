@@ -148,8 +148,8 @@ def test_passages(spark):
     after = {r.doc_id: r.text for r in remove_passages(df, got).collect()}
     assert after[3] == rows[3][1] and passage[10] + " " + passage[11] not in after[8] and after[5] == rows[5][1] and len(after) == len(rows)
     assert repeated_passages(df.limit(0)).count() == 0
-    x = np.array([0, 5, 9, 40])
-    assert [p.tolist() for p in chains(x, x + 3, 16, 0.25, 20)] == [[0, 1, 2, 3]]
+    x = np.array([0, 10, 25, 400])
+    assert [p.tolist() for p in chains(x, x + 3, np.full(4, 6), 0.1, 5, 100)] == [[0, 1, 2], [3]]
     assert align(np.array([1, 2, 3, 9, 4]), np.array([7, 1, 2, 3, 4]), [0, 1])[4] >= 3
 
 
@@ -201,6 +201,68 @@ def test_repeats_within_a_document(spark):
     assert cut == places
 
 
+def best_chain(x, y, size, gap):
+    """The best chain's score by looking at all pairs of blocks."""
+    score = {}
+    for i in sorted(range(len(x)), key=lambda i: (x[i], y[i])):
+        score[i] = size[i] + max([0.0, *(score[j] - gap * (x[i] - x[j] - size[j] + y[i] - y[j] - size[j]) for j in score if x[j] + size[j] <= x[i] and y[j] + size[j] <= y[i])])
+    return max(score.values())
+
+
+def test_chains_against_all_pairs():
+    rng = np.random.default_rng(33)
+    for _ in range(60):
+        n = int(rng.integers(1, 25))
+        x, y, size = rng.integers(0, 120, n), rng.integers(0, 120, n), rng.integers(1, 12, n)
+        top = chains(x, y, size, 0.1, 0.0, 10**6)[0]
+        gained = size[top].sum() - 0.1 * (x[top[-1]] - x[top[0]] + y[top[-1]] - y[top[0]] - 2 * size[top[:-1]].sum())
+        assert np.isclose(gained, best_chain(x.tolist(), y.tolist(), size.tolist(), 0.1))
+        assert all(x[a] + size[a] <= x[b] and y[a] + size[a] <= y[b] for a, b in zip(top, top[1:]))
+
+
+def test_every_exact_passage_is_found(spark):
+    """Texts built of few shared bits, against all windows of 50 words: every word of one that an earlier row holds is covered."""
+    rng = np.random.default_rng(34)
+    bits = [[str(w) for w in rng.choice(WORDS, int(rng.integers(5, 45)))] for _ in range(12)]
+    rows = [(int(i // 2), sum((bits[b] if b < 12 else [f"u{i}_{j}" for j in range(20)] for b in rng.integers(0, 14, int(rng.integers(2, 14)))), [])) for i in range(60)]
+    got = collections.defaultdict(set)
+    for r in repeated_passages(docs_of(spark, [(i, " ".join(w)) for i, w in rows]), min_identity=1.0).collect():
+        got[r.doc_id, r.text_crc] |= set(range(r.start_word, r.start_word + r.n_words))
+    crc = lambda w: zlib.crc32(" ".join(w).encode()) & 0x7FFFFFFF
+    seen = set()
+    for i, w in sorted(rows, key=lambda r: (r[0], crc(r[1]))):
+        mine = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        want = {p for j, m in enumerate(mine) if m in seen for p in range(j, j + 50)}
+        assert want <= got[i, crc(w)], (i, sorted(want - got[i, crc(w)])[:5])
+        seen |= set(mine)
+
+
+def test_rows_that_share_an_id(spark):
+    words = [f"p{j}" for j in range(100)]
+    clean = " ".join(f"c{j}" for j in range(301))
+    text = " ".join(words + [f"x{j}" for j in range(50)])
+    rows = [(3, " ".join(words)), (40, text), (40, clean), (40, text), (41, "long " * 20000), (42, "long " * 20000)]
+    df = docs_of(spark, rows)
+    got = repeated_passages(df)
+    assert {(r.doc_id, r.n_words) for r in got.collect() if r.doc_id == 40} == {(40, 100)}
+    after = collections.Counter((r.doc_id, r.text) for r in remove_passages(df, got).collect())
+    assert after[40, clean] == 1 and after[40, " ".join(f"x{j}" for j in range(50))] == 2 and after[3, " ".join(words)] == 1 and after[42, ""] == 1
+
+
+def test_passages_with_edits(spark):
+    """The share of 80-word passages found, with one word in ten and one in seven other, at random places."""
+    rng = np.random.default_rng(35)
+    rows, n = [], 100
+    for share, at in ((0.1, 0), (1 / 7, 1000)):
+        for i in range(n):
+            passage = [str(w) for w in rng.choice(WORDS, 80)]
+            for j, p in enumerate((passage, [f"e{i}_{j}" if rng.random() < share else w for j, w in enumerate(passage)])):
+                rows.append((at + i + j * 500, " ".join([f"l{at}_{i}_{j}_{x}" for x in range(40)] + p + [f"r{at}_{i}_{j}_{x}" for x in range(40)])))
+    found = {r.doc_id for r in repeated_passages(docs_of(spark, rows)).collect()}
+    easy, hard = (sum(at + i + 500 in found for i in range(n)) for at in (0, 1000))
+    assert easy >= 95 and hard >= 85 and not found & {i for i, _ in rows if i % 1000 < 500}
+
+
 def test_mixing_reaches_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(["red", "green"] if i % 3 else ["blue!", "black!"], int(rng.integers(5, 60))))) for i in range(300)] + [(300, None), (301, ""), (None, "red")]
