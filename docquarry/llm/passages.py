@@ -2,7 +2,7 @@
 
 1. Seeds: closed syncmers, the k-word runs whose least-hashed word stands first or last. Which runs these are
    hangs on their own words alone, so two texts that share a run share its seed, and k - 1 runs in sequence hold one
-   at least: the seeds of an exactly shared stretch overlap each other.
+   at least: the seeds of an exactly shared stretch touch or overlap each other.
 2. Join: each seed's first occurrence (least row) leads; every occurrence in other rows is matched with it alone,
    so a passage in n places makes n - 1 matches at most, whatever n is. The first occurrence comes from an
    aggregation with map-side combine; the join back is one that adaptive execution can split. Seeds go through in
@@ -10,19 +10,21 @@
 3. Chains: the matches of a row with one leader, as blocks of unbroken runs along a diagonal, in order of both
    positions; a Fenwick tree over leader positions holds the best chain end before a place, gap costs are linear in
    the words skipped on both sides.
-4. Windows: where seeds recur one after another but have several leaders or diagonals, every window of min_words
-   words that no single run of one leader covers is a seed too, led by the first row that holds all of it. So an
-   exact passage is found whoever leads its short seeds: if one leader holds all of its seeds in place, it holds
-   the passage, and the chain finds it; else both rows emit the window.
+4. Windows: where seeds recur one after another but leader or diagonal changes, every window of min_words words
+   around the change is a seed too, led by the first row that holds all of it.
 5. Alignment: chains and windows are widened, and further, in rounds, on sides that still match at the edge; the
    words of both sides are fetched, and aligned along the chain's diagonals, +1 a match, -2 a mismatch, with a
-   cost to change diagonal and a break where the score drops by more than DROP; all passages of min_words at least, with min_identity of words equal, are returned.
+   cost to change diagonal and a break where the score drops by more than DROP; all passages of min_words at least,
+   with min_identity of words equal, are returned.
+
+So every exact passage of min_words + 2 * (k - 2) words is found, whoever leads its seeds, but for k - 2 words at most at
+its edges; a shorter one too, unless an earlier row leads all its seeds in place and lacks an outer word. One with edits
+needs two seeds in common with a first holder (README: measured recall).
 
 A row is known by its id and a checksum of its text: rows of one id but other texts are matched and cut each for
 itself, in the order of the checksum; rows equal in both count as one. A row is never matched with itself, but may be with
-one of its id. Null ids take no part; null, empty and short texts have no seeds. Exact passages are all found;
-one with edits needs two seeds in common with a first holder (README: measured recall). Extra columns pass through
-remove_passages; an empty table gives an empty table.
+one of its id. Null ids take no part; null, empty and short texts have no seeds. Extra columns pass through
+remove_passages; an empty table gives an empty table. Places in a text take 27 bits, rows 36; more raises an error.
 """
 
 from __future__ import annotations
@@ -31,15 +33,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.base import bytes_of, discard, join_filters, list_array, materialize, slices
 from docquarry.llm.wordhash import _SPACE, ngrams, words
 
+_PLACE = 27  # bits of a word's place; those above hold the row's number
+_NUMBER, _TASK = 23, 13  # a row's number: its place in a task, and the task
 PASSAGES = "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long, matches long, text_crc int"
 DROP = 40
-SLICES = 8  # a power of two: seeds of one slice share the top bits of their hashes
+SLICES = 4  # a power of two: seeds of one slice share the top bits of their hashes
 
 
 def checksums(texts: pa.Array) -> np.ndarray:
@@ -65,28 +70,43 @@ def seeds(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, chosen - at[row], g[chosen]
 
 
-def open_windows(pos: np.ndarray, label: np.ndarray, k: int, size: int) -> list[tuple[int, int]]:
-    """Ranges (from, to) of window starts that recurring seeds fill and that no run of one label covers.
+def numbered(rows: DataFrame) -> DataFrame:
+    """(rid, id, crc) of distinct rows(id, crc): numbers of 36 bits in the order of (id, crc)."""
+
+    def count(batches):
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if task >> _TASK or (n + batch.num_rows) >> _NUMBER:
+                raise ValueError("more rows than row numbers: raise spark.sql.shuffle.partitions, up to 8192")
+            yield pa.RecordBatch.from_arrays([pa.array((task << _NUMBER) + n + np.arange(batch.num_rows)), *batch.columns], ["rid", "id", "crc"])
+            n += batch.num_rows
+
+    spread = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << _TASK)
+    return rows.repartitionByRange(spread, "id", "crc").sortWithinPartitions("id", "crc").mapInArrow(count, "rid long, id long, crc int")
+
 
-    pos: ascending word positions of a row's recurring seeds. The ends may lie outside the text.
+def changes(row: np.ndarray, pos: np.ndarray, lead: np.ndarray, diagonal: np.ndarray, k: int, size: int) -> list[tuple[int, int, int]]:
+    """(row, from, to): disjoint ranges of starts of the windows that hold two seeds next to each other of different leaders or diagonals.
+
+    The arrays: a row's recurring seeds. Ranges may reach over the text's ends, not over a gap between seeds.
     """
-    near, found = k - 1, []
-    if not len(pos):
-        return found
-    for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > near) + 1):
-        lo, hi = int(pos[part[0]]) - near + 1, int(pos[part[-1]]) + k + near - 1 - size
-        if hi < lo:
-            continue
-        mine = label[part]
-        cut = np.flatnonzero((mine[1:] != mine[:-1]).any(1)) + 1 if mine.ndim > 1 else np.flatnonzero(mine[1:] != mine[:-1]) + 1
-        for run in np.split(part, cut):
-            a, b = int(pos[run[0]]), int(pos[run[-1]]) + k - size
-            if b >= a:
-                if a > lo:
-                    found.append((lo, a))
-                lo = b + 1
-        if hi >= lo:
-            found.append((lo, hi + 1))
+    order = np.lexsort((pos, row))
+    row, pos, lead, diagonal = row[order], pos[order], lead[order], diagonal[order]
+    near = k - 1
+    breaks = np.flatnonzero((row[1:] != row[:-1]) | (pos[1:] - pos[:-1] > near)) + 1
+    first = np.concatenate(([0], breaks))
+    last = np.concatenate((breaks, [len(pos)])) - 1
+    stretch = np.searchsorted(first, np.arange(len(pos)), side="right") - 1
+    other = (lead[1:] != lead[:-1]) | (diagonal[1:] != diagonal[:-1])
+    at = np.flatnonzero(other & (stretch[1:] == stretch[:-1])) + 1
+    lo = np.maximum(pos[at] + k - size, pos[first[stretch[at]]] - near + 1)
+    hi = np.minimum(pos[at - 1], pos[last[stretch[at]]] + k + near - 1 - size) + 1
+    found: list[tuple[int, int, int]] = []
+    for r, a, b in zip(row[at].tolist(), lo.tolist(), hi.tolist()):
+        if found and found[-1][0] == r and a <= found[-1][2]:
+            found[-1] = (r, found[-1][1], max(b, found[-1][2]))
+        elif b > a:
+            found.append((r, a, b))
     return found
 
 
@@ -114,13 +134,6 @@ def windows(texts: pa.Array, ranges: list, size: int) -> tuple[np.ndarray, np.nd
     return row[kept], pos[kept], value[kept]
 
 
-def blocks(x: np.ndarray, y: np.ndarray, step: int) -> list[np.ndarray]:
-    """Places of the matches of each unbroken run along one diagonal: at most step words from one to the next."""
-    order = np.lexsort((x, y - x))
-    x, d = x[order], (y - x)[order]
-    return np.split(order, np.flatnonzero((d[1:] != d[:-1]) | (x[1:] - x[:-1] > step)) + 1)
-
-
 def still_equal(a: np.ndarray, b: np.ndarray, diagonals: list[int], n: int) -> tuple[bool, bool]:
     """Whether half of the first n words, and of the last, that lie inside both are equal on some diagonal."""
     left = right = False
@@ -265,15 +278,76 @@ def segments(a: np.ndarray, b: np.ndarray, diagonals: list[int], min_words: int,
     return sorted(found)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, min_words: int = 50, min_identity: float = 0.8, gap: float = 0.1, far: int = 100) -> DataFrame:
+def linker(k: int, size: int, least: float, gap: float, far: int, slack: int, grid: int, short: bool):
+    """A function from batches (rid, m: pos, lead) to rows: links (s1 .. diagonals), and where short, ranges of windows (wide)."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            off = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            x, lead = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            rid = batch.column(0).to_numpy()
+            row = np.repeat(np.arange(len(rid)), np.diff(off))
+            y = lead & ((1 << _PLACE) - 1)
+            lead >>= _PLACE
+            wide: list[list] = [[] for _ in rid]
+            for r, lo, hi in changes(row, x, lead, y - x, k, size) if short and len(x) else []:
+                wide[r].append({"lo": lo, "hi": hi})
+            mine = lead != rid[row]
+            row, x, y, lead = row[mine], x[mine], y[mine], lead[mine]
+            order = np.lexsort((x, y - x, lead, row))
+            row, x, y, lead = row[order], x[order], y[order], lead[order]
+            step = k - 1 if short else 1
+            # Blocks: unbroken runs along one diagonal.
+            pair = (row[1:] != row[:-1]) | (lead[1:] != lead[:-1])
+            fresh = np.concatenate(([True], pair | ((y - x)[1:] != (y - x)[:-1]) | (x[1:] - x[:-1] > step)))[: len(x)]
+            at = np.flatnonzero(fresh)
+            bx, by = x[at], y[at]
+            width = (x[np.append(at[1:], len(x)) - 1] - bx if len(at) else bx) + (k if short else size)
+            starts = np.flatnonzero(np.concatenate(([True], pair))[: len(x)][at])
+            ends = np.append(starts[1:], len(at))
+            alone = ends - starts == 1
+            kept = starts[alone & (width[starts] >= least)] if short else np.arange(len(at))
+            links = [(at[j], bx[j], bx[j] + width[j], by[j], by[j] + width[j], [int(by[j] - bx[j])]) for j in kept.tolist()]
+            for lo, hi in zip(starts[~alone].tolist(), ends[~alone].tolist()) if short else []:
+                for path in chains(bx[lo:hi], by[lo:hi], width[lo:hi], gap, least, far):
+                    path = path + lo
+                    links.append((at[lo], bx[path].min(), (bx[path] + width[path]).max(), by[path].min(), (by[path] + width[path]).max(), np.unique(by[path] - bx[path]).tolist()))
+            if links:
+                place, x0, x1, y0, y1 = (np.array(v) for v in list(zip(*links))[:5])
+                diagonals = pa.array([v[5] for v in links], pa.list_(pa.int64()))
+                none = pa.nulls(len(links), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rid[row[place]]), pa.array(np.maximum(0, x0 - slack)), pa.array(x1 + slack), pa.array(lead[place]), pa.array(np.maximum(0, y0 - slack) // grid * grid), pa.array(-(-(y1 + slack) // grid) * grid), diagonals, none],
+                    _LINK_NAMES,
+                )
+            if told := [i for i, w in enumerate(wide) if w]:
+                columns = [pa.array(rid[told]), *[pa.nulls(len(told), pa.int64())] * 5, pa.nulls(len(told), pa.list_(pa.int64())), pa.array([wide[i] for i in told], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays(columns, _LINK_NAMES)
+
+    return run
+
+
+_PAIR = "rid long, s1 long, e1 long, lid long, s2 long, e2 long, diagonals array<long>"
+_LINK = f"{_PAIR}, wide array<struct<lo:long,hi:long>>"
+_LINK_NAMES = [f.split()[0] for f in _PAIR.split(", ")] + ["wide"]
+#: A row of an alignment is a passage, or a pair of spans to look at again, wider.
+_FOUND = f"row long, start_word long, n_words long, other long, other_start_word long, matches long, {_PAIR}"
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 6, min_words: int = 50, min_identity: float = 0.8, gap: float = 0.1, far: int = 100) -> DataFrame:
     """One row (PASSAGES) for each passage that a row shares with an earlier one; text_crc tells rows of one id apart."""
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     slack, grid, shift = 16, 16, np.uint64(64 - SLICES.bit_length() + 1)
+    names = _LINK_NAMES[:-1]
 
     def find(batches):
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
                 row, pos, value = seeds(part.column(1), k)
+                if len(pos) and int(pos.max()) >> _PLACE:
+                    raise ValueError("a text of more than 2**27 words")
                 columns = [part.column(0), pa.array(checksums(part.column(1)), pa.int32())]
                 of = value >> shift
                 for i in range(SLICES):
@@ -282,157 +356,120 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     columns += [list_array(value[mine].view(np.int64), ends, pa.int64()), list_array(pos[mine], ends, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "crc", *(f"{c}{i}" for i in range(SLICES) for c in "hp")])
 
-    found = materialize(base.mapInArrow(find, "id long, crc int, " + ", ".join(f"h{i} array<long>, p{i} array<int>" for i in range(SLICES))))
+    lists = ", ".join(f"h{i} array<long>, p{i} array<int>" for i in range(SLICES))
+    scanned = materialize(base.mapInArrow(find, f"id long, crc int, {lists}"))
+    rows = materialize(numbered(scanned.select("id", "crc").distinct()))
+    found = materialize(scanned.join(rows, ["id", "crc"]).drop("id", "crc"), release=True)
+    discard(scanned)
 
     def led(seed: DataFrame) -> DataFrame:
-        """Each occurrence of a seed of several rows with its first; that one with itself."""
-        lead = seed.groupBy("h").agg(F.min(F.struct("id", "crc", "pos")).alias("x"), F.max(F.struct("id", "crc")).alias("y")).filter("x.id < y.id OR x.crc < y.crc")
-        return seed.join(lead.select("h", F.col("x.id").alias("lid"), F.col("x.crc").alias("lcrc"), F.col("x.pos").alias("lpos")), "h").select("id", "crc", "pos", "lid", "lcrc", "lpos")
-
-    matches, parts = None, []
-    for i in range(SLICES):
-        seed = found.filter(F.size(f"h{i}") > 0).select("id", "crc", F.inline(F.arrays_zip(F.col(f"h{i}").alias("h"), F.col(f"p{i}").alias("pos"))))
-        parts.append(materialize(led(seed), release=True))
-        matches = parts[-1] if matches is None else matches.unionByName(parts[-1])
-    discard(found)
+        """(p, lead) of each occurrence of a seed of several rows: its row and place, and those of the first; that one too."""
+        lead = seed.groupBy("h").agg(F.min("p").alias("lead"), F.max("p").alias("last")).filter(F.shiftright("lead", _PLACE) < F.shiftright("last", _PLACE))
+        return seed.join(lead.select("h", "lead"), "h").select("p", "lead")
 
     def gathered(matches: DataFrame) -> DataFrame:
         # Bounded by a row's own seeds; a set, for rows that are equal.
-        return matches.groupBy("id", "crc").agg(F.collect_set(F.struct("pos", "lid", "lcrc", "lpos")).alias("m"))
-
-    pair = "s1 long, e1 long, lid long, lcrc int, s2 long, e2 long, diagonals array<long>"
-    names = [c.split()[0] for c in pair.split(", ")]
-
-    def link(short):
-        def run(batches):
-            for batch in batches:
-                lists = batch.column(2)
-                off = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-                flat = lists.flatten()
-                pos, lid, lcrc, lpos = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-                links, wide = [], []
-                for i, (key, crc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                    at = slice(off[i], off[i + 1])
-                    order = np.lexsort((pos[at], lcrc[at], lid[at]))
-                    x, a, c, y = (v[at][order] for v in (pos, lid, lcrc, lpos))
-                    rows = []
-                    for part in np.split(np.arange(len(x)), np.flatnonzero((a[1:] != a[:-1]) | (c[1:] != c[:-1])) + 1):
-                        if (a[part[0]], c[part[0]]) == (key, crc) or len(part) < 1 + short:
-                            continue
-                        px, py = x[part], y[part]
-                        size = k if short else min_words
-                        runs = blocks(px, py, k - 1 if short else 1)
-                        bx, by = (np.array([v[r[0]] for r in runs]) for v in (px, py))
-                        words_of = np.array([px[r[-1]] - px[r[0]] + size for r in runs])
-                        for path in chains(bx, by, words_of, gap, 2 * k, far) if short else [[j] for j in range(len(runs))]:
-                            x0, x1 = int(bx[path].min()), int((bx[path] + words_of[path]).max())
-                            y0, y1 = int(by[path].min()), int((by[path] + words_of[path]).max())
-                            rows.append(dict(zip(names, (max(0, x0 - slack), x1 + slack, int(a[part[0]]), int(c[part[0]]), max(0, y0 - slack) // grid * grid, -(-(y1 + slack) // grid) * grid, np.unique(by[path] - bx[path]).tolist()))))
-                    links.append(rows)
-                    order = np.argsort(x, kind="stable")
-                    wide.append([{"lo": lo, "hi": hi} for lo, hi in open_windows(x[order], np.column_stack((a, c, y - x))[order], k, min_words)] if short else [])
-                kinds = {"diagonals": pa.list_(pa.int64()), "lcrc": pa.int32()}
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(links, pa.list_(pa.struct([(n, kinds.get(n, pa.int64())) for n in names]))), pa.array(wide, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
-                    ["id", "crc", "links", "wide"],
-                )
+        pos = F.col("p").bitwiseAND((1 << _PLACE) - 1).cast("int")
+        return matches.groupBy(F.shiftright("p", _PLACE).alias("rid")).agg(F.collect_set(F.struct(pos.alias("pos"), "lead")).alias("m"))
 
-        return run
+    def packed(pos: str):
+        return (F.shiftleft("rid", _PLACE) + F.col(pos)).alias("p")
 
-    fields = f"id long, crc int, links array<struct<{pair.replace(' ', ':').replace(',:', ',')}>>, wide array<struct<lo:long,hi:long>>"
-    told = materialize(gathered(matches).mapInArrow(link(True), fields), release=True)
+    parts = []
+    for i in range(SLICES):
+        seed = found.filter(F.size(f"h{i}") > 0).select("rid", F.inline(F.arrays_zip(F.col(f"h{i}").alias("h"), F.col(f"p{i}").alias("pos")))).select("h", packed("pos"))
+        parts.append(materialize(led(seed), release=True))
+    discard(found)
+    matches = parts[0]
+    for part in parts[1:]:
+        matches = matches.unionByName(part)
+    told = materialize(gathered(matches).mapInArrow(linker(k, min_words, 2.0 * k, gap, far, slack, grid, True), _LINK), release=True)
     for part in parts:
         discard(part)
 
-    def fill(batches):
+    def mine(batches, act):
+        """act on the parts of batches (id, text, crc, ..) less the rows of these ids with other texts."""
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
-                # The row of this text, of those with this id.
                 part = part.filter(pa.array(checksums(part.column(1)) == part.column(2).to_numpy()))
-                row, pos, value = windows(part.column(1), [[(s["lo"], s["hi"]) for s in spans] for spans in part.column(3).to_pylist()], min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array(pos, pa.int32())], ["h", "id", "crc", "pos"])
+                if part.num_rows:
+                    yield act(part)
 
-    unsettled = told.filter(F.size("wide") > 0).select("id", "crc", "wide")
-    with join_filters(docs.sparkSession):
-        filled = materialize(base.join(unsettled, "id").select("id", "text", "crc", "wide").mapInArrow(fill, "h long, id long, crc int, pos int"), release=True)
-    # Of the windows' matches only those with other rows count: each row's windows with its leaders.
-    shared = gathered(led(filled)).mapInArrow(link(False), fields)
-    links = told.select("id", "crc", F.inline("links")).unionByName(shared.select("id", "crc", F.inline("links")))
-    linked = materialize(links.distinct().repartition("id"), release=True)
-    discard(told)
-    discard(filled)
+    def fill(part):
+        row, pos, value = windows(part.column(1), [[(s["lo"], s["hi"]) for s in spans] for spans in part.column(4).to_pylist()], min_words)
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column(3).take(pa.array(row)), pa.array(pos, pa.int64())], ["h", "rid", "pos"])
 
-    def cut(batches):
-        for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
-                part = part.filter(pa.array(checksums(part.column(1)) == part.column(2).to_numpy()))
-                h, off = words(part.column(1))
-                ids, crcs, ss, es, out = [], [], [], [], []
-                for i, (key, crc, spans) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 2, 3)))):
-                    own = (h[off[i] : off[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                    for span in spans:
-                        ids.append(key)
-                        crcs.append(crc)
-                        ss.append(span["s"])
-                        es.append(span["e"])
-                        out.append(own[span["s"] : span["e"]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(crcs, pa.int32()), pa.array(ss, pa.int64()), pa.array(es, pa.int64()), list_array(np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum([len(o) for o in out]))), pa.int32())],
-                    ["id", "crc", "s", "e", "words"],
-                )
-
-    # A row is a passage, or a pair of spans to look at again, wider.
-    again_fields = f"id long, crc int, {pair}"
-    both_fields = f"{PASSAGES}, {again_fields}"
-    width, again_width = len(PASSAGES.split(", ")), len(again_fields.split(", "))
-    kinds = {"text_crc": pa.int32(), "crc": pa.int32(), "lcrc": pa.int32(), "diagonals": pa.list_(pa.int64())}
-    types = [kinds.get(f.split()[0], pa.int64()) for f in both_fields.split(", ")]
+    asked = materialize(told.filter("wide is not null").select("rid", "wide").join(rows, "rid"))
+    with join_filters(docs.sparkSession):
+        wanted = asked.filter("id > -9223372036854775808")  # where Spark's join filter looks for a condition
+        filled = materialize(base.join(wanted, "id").select("id", "text", "crc", "rid", "wide").mapInArrow(lambda batches: mine(batches, fill), "h long, rid long, pos long"), release=True)
+    shared = gathered(led(filled.select("h", packed("pos")))).mapInArrow(linker(k, min_words, 0, gap, far, slack, grid, False), _LINK)
+    linked = materialize(told.filter("wide is null").unionByName(shared).select(*names).distinct().repartition("rid"), release=True)
+    for table in (told, asked, filled):
+        discard(table)
+
+    def cut(part):
+        h, off = words(part.column(1))
+        rids, ss, es, out = [], [], [], []
+        for i, (rid, spans) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist())):
+            own = (h[off[i] : off[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            for span in spans:
+                rids.append(rid)
+                ss.append(span["s"])
+                es.append(span["e"])
+                out.append(own[span["s"] : span["e"]])
+        return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ss, pa.int64()), pa.array(es, pa.int64()), list_array(np.concatenate(out), np.concatenate(([0], np.cumsum([len(o) for o in out]))), pa.int32())], ["rid", "s", "e", "words"])
+
+    types = [pa.list_(pa.int64()) if f.startswith("diagonals") else pa.int64() for f in _FOUND.split(", ")]
 
     def compare(batches):
         for batch in batches:
-            rows, more = [], []
-            ids, crc, s1, e1, lid, lcrc, s2, e2 = (batch.column(i).to_pylist() for i in range(8))
-            for i in range(batch.num_rows):
-                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (9, 10))
-                along = batch.column(8)[i].as_py()
+            done, more = [], []
+            rid, s1, e1, lid, s2, e2, diagonals = (batch.column(i).to_pylist() for i in range(7))
+            for i, along in enumerate(diagonals):
+                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (7, 8))
                 d = [x - s2[i] + s1[i] for x in along]
                 left, right = still_equal(a, b, d, 16)
                 left &= s1[i] > 0 and s2[i] > 0
                 right &= len(a) == e1[i] - s1[i] and len(b) == e2[i] - s2[i]
                 if left or right:
                     by = max(64, 3 * (e1[i] - s1[i]))
-                    more.append((ids[i], crc[i], max(0, s1[i] - left * by), e1[i] + right * by, lid[i], lcrc[i], max(0, s2[i] - left * by) // grid * grid, -(-(e2[i] + right * by) // grid) * grid, along))
+                    more.append((rid[i], max(0, s1[i] - left * by), e1[i] + right * by, lid[i], max(0, s2[i] - left * by) // grid * grid, -(-(e2[i] + right * by) // grid) * grid, along))
                 else:
-                    rows += [(ids[i], s1[i] + a0, a1 - a0, lid[i], s2[i] + b0, same, crc[i]) for a0, a1, b0, b1, same in segments(a, b, d, min_words, min_identity)]
-            for kept, again in ((rows, False), (more, True)):
+                    done += [(rid[i], s1[i] + a0, a1 - a0, lid[i], s2[i] + b0, same) for a0, a1, b0, b1, same in segments(a, b, d, min_words, min_identity)]
+            for kept, before in ((done, 0), (more, 6)):
                 if kept:
-                    own = list(zip(*kept))
-                    own = own if not again else [None] * width + own
-                    yield pa.RecordBatch.from_arrays([pa.array(own[j], t) if j < len(own) and own[j] is not None else pa.nulls(len(kept), t) for j, t in enumerate(types)], [f.split()[0] for f in both_fields.split(", ")])
+                    own = dict(enumerate(zip(*kept), before))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[j], t) if j in own else pa.nulls(len(kept), t) for j, t in enumerate(types)], [f.split()[0] for f in _FOUND.split(", ")])
 
     def aligned(linked: DataFrame) -> DataFrame:
-        asked = linked.select("id", "crc", F.col("s1").alias("s"), F.col("e1").alias("e")).unionByName(linked.select(F.col("lid").alias("id"), F.col("lcrc").alias("crc"), F.col("s2").alias("s"), F.col("e2").alias("e"))).distinct()
+        spans = linked.select("rid", F.col("s1").alias("s"), F.col("e1").alias("e")).unionByName(linked.select(F.col("lid").alias("rid"), F.col("s2").alias("s"), F.col("e2").alias("e"))).distinct()
         # A row's distinct spans: bounded by its chains as a follower, and by its grid as a leader.
-        asked = materialize(asked.groupBy("id", "crc").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-        wanted = asked.filter("id > -9223372036854775808")  # where Spark's join filter looks for a condition
+        asked = materialize(spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")).join(rows, "rid"))
         with join_filters(docs.sparkSession):
-            spans = base.join(wanted, "id").select("id", "text", "crc", "spans").mapInArrow(cut, "id long, crc int, s long, e long, words array<int>")
+            wanted = asked.filter("id > -9223372036854775808")
+            held = base.join(wanted, "id").select("id", "text", "crc", "rid", "spans").mapInArrow(lambda batches: mine(batches, cut), "rid long, s long, e long, words array<int>")
             # Equal rows give equal spans. Written, so that the joins below read plain shuffles, which can be split.
-            spans = materialize(spans.groupBy("id", "crc", "s", "e").agg(F.first("words").alias("words")), release=True)
-        left = spans.select("id", "crc", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("words").alias("a"))
-        right = spans.select(F.col("id").alias("lid"), F.col("crc").alias("lcrc"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("words").alias("b"))
-        both = linked.join(left, ["id", "crc", "s1", "e1"]).join(right, ["lid", "lcrc", "s2", "e2"]).select("id", "crc", *names, "a", "b")
-        out = materialize(both.mapInArrow(compare, both_fields), release=True)
-        for table in (asked, spans, linked):
+            held = materialize(held.groupBy("rid", "s", "e").agg(F.first("words").alias("words")), release=True)
+        left = held.select("rid", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("words").alias("a"))
+        right = held.select(F.col("rid").alias("lid"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("words").alias("b"))
+        both = linked.join(left, ["rid", "s1", "e1"]).join(right, ["lid", "s2", "e2"]).select(*names, "a", "b")
+        out = materialize(both.mapInArrow(compare, _FOUND), release=True)
+        for table in (asked, held, linked):
             discard(table)
         return out
 
     done = aligned(linked)
-    passages = done.filter("doc_id is not null").select(*[c.split()[0] for c in PASSAGES.split(", ")])
-    while not done.filter("id is not null").isEmpty():
-        done = aligned(materialize(done.filter("id is not null").select("id", "crc", *names).distinct().repartition("id")))
-        passages = passages.unionByName(done.filter("doc_id is not null").select(*passages.columns))
-    return passages.distinct()
+    passages = None
+    while True:
+        some = done.filter("row is not null").select("row", "start_word", "n_words", "other", "other_start_word", "matches")
+        passages = some if passages is None else passages.unionByName(some)
+        if done.filter("rid is not null").isEmpty():
+            break
+        done = aligned(materialize(done.filter("rid is not null").select(*names).distinct().repartition("rid")))
+    own = rows.select(F.col("rid").alias("row"), F.col("id").alias("doc_id"), F.col("crc").alias("text_crc"))
+    first = rows.select(F.col("rid").alias("other"), F.col("id").alias("other_doc_id"))
+    return passages.distinct().join(own, "row").join(first, "other").select(*[c.split()[0] for c in PASSAGES.split(", ")])
 
 
 def _without(text: bytes, spans: list) -> str:
