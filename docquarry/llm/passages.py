@@ -44,7 +44,7 @@ _PLACE = 27  # bits of a word's place; those above hold the row's number
 _NUMBER, _TASK = 23, 13  # a row's number: its place in a task, and the task
 PASSAGES = "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long, matches long, text_crc int"
 DROP = 40
-SLICES = 4  # a power of two: seeds of one slice share the top bits of their hashes
+SLICES = 2  # a power of two: seeds of one slice share the top bits of their hashes
 
 
 def checksums(texts: pa.Array) -> np.ndarray:
@@ -362,10 +362,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = materialize(scanned.join(rows, ["id", "crc"]).drop("id", "crc"), release=True)
     discard(scanned)
 
+    spent: list[DataFrame] = []
+
     def led(seed: DataFrame) -> DataFrame:
         """(p, lead) of each occurrence of a seed of several rows: its row and place, and those of the first; that one too."""
         lead = seed.groupBy("h").agg(F.min("p").alias("lead"), F.max("p").alias("last")).filter(F.shiftright("lead", _PLACE) < F.shiftright("last", _PLACE))
-        return seed.join(lead.select("h", "lead"), "h").select("p", "lead")
+        # Written, so that the join reads plain shuffles, of which adaptive execution splits a hot seed's.
+        spent.append(materialize(lead.select("h", "lead")))
+        return seed.join(spent[-1], "h").select("p", "lead")
 
     def gathered(matches: DataFrame) -> DataFrame:
         # Bounded by a row's own seeds; a set, for rows that are equal.
@@ -405,7 +409,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         filled = materialize(base.join(wanted, "id").select("id", "text", "crc", "rid", "wide").mapInArrow(lambda batches: mine(batches, fill), "h long, rid long, pos long"), release=True)
     shared = gathered(led(filled.select("h", packed("pos")))).mapInArrow(linker(k, min_words, 0, gap, far, slack, grid, False), _LINK)
     linked = materialize(told.filter("wide is null").unionByName(shared).select(*names).distinct().repartition("rid"), release=True)
-    for table in (told, asked, filled):
+    for table in (told, asked, filled, *spent):
         discard(table)
 
     def cut(part):

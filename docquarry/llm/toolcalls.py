@@ -24,7 +24,7 @@ from docquarry.llm.base import materialize
 def levels(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(id, level) of nodes(id, parent): 0 for roots; null on or behind a cycle. A parent not among the nodes counts as none."""
     known = nodes.select(F.col("id").alias("known"))
-    state = nodes.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("level"))
+    state = nodes.join(known.hint("shuffle_hash"), F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("level"))
     state = materialize(state)
     total = state.count()
     rounds = min(max_rounds, max(1, total.bit_length()) + 1)
@@ -32,7 +32,7 @@ def levels(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
         if state.filter(F.col("up").isNotNull()).isEmpty():
             break
         above = state.select(F.col("id").alias("at"), F.col("up").alias("next"), F.col("level").alias("more"))
-        state = materialize(state.join(above, F.col("up") == F.col("at"), "left").select("id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+        state = materialize(state.join(above.hint("shuffle_hash"), F.col("up") == F.col("at"), "left").select("id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
     return state.select("id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
@@ -58,7 +58,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     asked = materialize(asked.select("id", "c.name", "c.arguments", "c.after", "n_calls"))
     told = results.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("position", "content")).alias("r"), F.count("*").alias("n_results")).select("id", F.col("r.content").alias("content"), "n_results")
     deep = levels(asked.select("id", F.col("after").alias("parent")))
-    both = asked.join(deep, "id", "left").join(told, "id", "full_outer").withColumn("parsed", F.try_parse_json("arguments"))
+    both = asked.join(deep.hint("shuffle_hash"), "id", "left").join(told.hint("shuffle_hash"), "id", "full_outer").withColumn("parsed", F.try_parse_json("arguments"))
     status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
     message = F.to_json(F.struct(F.col("parsed").alias("arguments"), "id", "level", "name", F.col("content").alias("result")), {"ignoreNullFields": "false"})
     return both.select(

@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docquarry.llm.ann import ann_search, chi_square_cdf
+from docquarry.llm.ann import ann_search, boxes, chi_square_cdf, kd_tree, walk
 from docquarry.llm.components import connected_components
 from docquarry.llm.jaccard import drop_near_duplicates, jaccard_join
 from docquarry.llm.knn_join import knn_join
@@ -93,6 +93,32 @@ def test_exact_join_and_projected_search(spark):
     assert abs(chi_square_cdf(2.0, 2) - (1 - np.exp(-1))) < 1e-12
 
 
+def test_tree_walk_is_in_order():
+    p = np.random.default_rng(36).normal(size=(3000, 16))
+    leaves, nodes = kd_tree(p, 32)
+    assert sorted(np.concatenate(leaves).tolist()) == list(range(3000)) and max(map(len, leaves)) <= 32
+    low, high = boxes(p, leaves, nodes)
+    q = np.full(16, 0.5)
+    came = list(walk(q, nodes, low, high))
+    want = sorted(float((np.maximum(np.maximum(p[x].min(0) - q, q - p[x].max(0)), 0) ** 2).sum()) for x in leaves)
+    assert np.allclose([d for d, _ in came], want) and sorted(i for _, i in came) == list(range(len(leaves)))
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_on_the_tables(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    got = QUERIES["op5_ann"](spark, f"/root/testdata/sf{sf}").toPandas()
+    rows = e.toPandas()
+    ids, m = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), float)
+    hit = 0
+    for a, g in got.groupby("query_id"):
+        s = m @ m[ids == a][0]
+        best = [j for j in np.lexsort((ids, -s)) if ids[j] != a][:20]
+        hit += len(set(ids[best]) & set(g.vec_id))
+    assert len(got) == 20 * (ids % 20 == 0).sum() and hit / len(got) >= 0.9
+    print("recall", sf, hit / len(got))
+
+
 def near_copies(rng, n=60):
     base = list(rng.choice(WORDS, 200))
     rows = [(i, " ".join(rng.choice(WORDS, 150))) for i in range(n)]
