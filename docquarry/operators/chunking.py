@@ -18,8 +18,8 @@ _FIGURE = re.compile(r"^\[Figure:.*\]$")
 
 def strip_metadata(text: str) -> str:
     """Without the extraction title and the page separators."""
-    text = re.sub(r"\A# Extracted:[^\n]*\n?", "", text)
-    return re.sub(r"\n---\n\*Page \d+[^\n]*\*\n", "\n", text).strip()
+    text = re.sub(r"\A# Extracted:[^\n]*\n*", "", text)
+    return re.sub(r"(?s)\n?---\n\*Page \d+.*?\*\n?", "\n", text).strip()
 
 
 def sections(text: str) -> list[tuple[str | None, str]]:
@@ -64,8 +64,8 @@ def sentences(text: str) -> list[str]:
     """Split after . ! ? and white space before A-Z, not behind an abbreviation."""
     parts: list[str] = []
     for piece in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text):
-        last = re.search(r"([A-Za-z]+)\.$", parts[-1]) if parts else None
-        if last and last[1] in ABBREVIATIONS:
+        last = re.search(r"(\S+)\.$", parts[-1]) if parts else None
+        if last and last[1].lstrip("([") in ABBREVIATIONS:
             parts[-1] += " " + piece
         else:
             parts.append(piece)
@@ -73,7 +73,7 @@ def sentences(text: str) -> list[str]:
 
 
 def chunk_markdown(text: str, max_tokens: int = 1024, overlap: int = 128, encode: Callable = str.split, decode: Callable = " ".join) -> list[dict]:
-    """Greedy chunks by section. Sizes count blocks only, so overlap and separators may exceed the bound (flagged)."""
+    """Greedy chunks by section. Sizes count the overlap and the blocks, not separators; a block behind an overlap may exceed the bound (flagged)."""
     out: list[dict] = []
     if not text or not text.strip():
         return out
@@ -111,14 +111,18 @@ def chunk_markdown(text: str, max_tokens: int = 1024, overlap: int = 128, encode
             else:
                 if parts:
                     emit(path, parts, kinds)
-                parts, kinds, size = [tail(), block], [kind], n
+                before = tail()
+                parts, kinds, size = [before, block], [kind], n + (len(encode(before)) if before else 0)
         if parts:
             emit(path, parts, kinds)
     return out
 
 
 def chunk_documents(docs: DataFrame, max_tokens: int = 1024, overlap: int = 128) -> DataFrame:
-    """CHUNKS of docs(doc_id, text): one narrow Arrow pass, a document's chunks follow its order."""
+    """CHUNKS of docs(doc_id, text): one narrow Arrow pass, a document's chunks follow its order.
+
+    Null and empty texts have no chunks; rows with null or repeated ids are chunked each; further columns are ignored.
+    """
     names = [c.split()[0] for c in CHUNKS.split(", ")]
 
     def run(batches):

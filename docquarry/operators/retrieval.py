@@ -22,8 +22,21 @@ def cosine(a, b) -> Column:
 def semantic_search(chunks: DataFrame, query: list[float], k: int = 20) -> DataFrame:
     """(vec_id, score) nearest first; ranks on id and vector only, so payload joins after the cut."""
     q = F.array(*map(F.lit, query))
-    scored = chunks.filter(F.col("embedding").isNotNull()).select("vec_id", F.round(cosine(F.col("embedding"), q), 6).alias("score"))
-    return scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), "vec_id").limit(k)
+    scored = chunks.filter(F.col("embedding").isNotNull()).select("vec_id", cosine(F.col("embedding"), q).alias("score"))
+    best = scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), "vec_id").limit(k)
+    return best.select("vec_id", F.round("score", 6).alias("score"))
+
+
+def semantic_batch(chunks: DataFrame, wanted, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k nearest other rows of every row for which wanted holds.
+
+    The stated query set meets all rows; a task cuts its own rows to k a query before the shuffle (the window's group limit).
+    """
+    e = chunks.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    q = e.filter(wanted).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score")).filter(F.col("score").isNotNull())
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long"))
+    return ranked.filter(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 
 
 def parse_websearch(query: str) -> list[list[tuple[bool, list[str]]]]:

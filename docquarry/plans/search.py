@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.operators.chunking import chunk_documents
 from docquarry.operators.pages import merge_document_pages, merge_page_blocks, reflow_documents
 from docquarry.operators.retrieval import cosine, diversify, fuse, keyword_search, semantic_search, words_of
+from docquarry.operators.retrieval import semantic_batch as nearest
 from docquarry.plans.dialect import CHECK, SPARK, views
 from docquarry.plans.relational import blocks, markdown
 
@@ -31,11 +32,8 @@ def semantic_filtered(spark, sf_dir):
 
 
 def semantic_batch(spark, sf_dir):
-    """Ten queries, at most ten rows: safe to broadcast."""
-    e = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).limit(10))
-    scored = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).filter("rank <= 5")
+    """Every row whose id is divisible by 50, against all rows."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 def keyword_topk(spark, sf_dir):
@@ -43,11 +41,11 @@ def keyword_topk(spark, sf_dir):
 
 
 def keyword_phrase(spark, sf_dir):
-    return keyword_search(table(spark, sf_dir, "documents"), '"of the"', 1000)
+    return keyword_search(table(spark, sf_dir, "documents"), '"of the"', 20)
 
 
 def keyword_not(spark, sf_dir):
-    return keyword_search(table(spark, sf_dir, "documents"), "the -and", 1000)
+    return keyword_search(table(spark, sf_dir, "documents"), "the -and", 20)
 
 
 def hybrid_search(spark, sf_dir):
@@ -56,7 +54,7 @@ def hybrid_search(spark, sf_dir):
     keyword = keyword_search(table(spark, sf_dir, "documents"), KEYWORDS, 100)
     best = fuse([semantic, keyword])
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "lang")
-    return docs.join(F.broadcast(best), "chunk_id").select("chunk_id", "score", "source", "lang")  # best: twenty rows
+    return F.broadcast(best).join(docs, "chunk_id", "left").select("chunk_id", "score", "source", "lang")  # best: twenty rows
 
 
 def rrf_single_leg(spark, sf_dir):
@@ -75,12 +73,10 @@ def rerank_lexical(spark, sf_dir):
 
 
 def mmr_select(spark, sf_dir):
-    """Five diverse rows of each of ten queries' best ten."""
+    """Five diverse rows of the best ten of every row whose id is divisible by 50."""
     e = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).limit(10))
-    scored = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("chunk_id"), "embedding", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    top = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter("r <= 10")
-    return diversify(top)
+    top = nearest(e, F.col("vec_id") % 50 == 0, 10)
+    return diversify(top.join(e, "vec_id").select("query_id", F.col("vec_id").alias("chunk_id"), "embedding", "score"))
 
 
 def retrieval_pipeline(spark, sf_dir):
@@ -105,7 +101,7 @@ def retrieval_metrics(spark, sf_dir):
     """Precision and reciprocal rank at 5 with the label as relevance."""
     ranked = semantic_batch(spark, sf_dir)
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
     hit = (F.col("label") == F.col("wanted")).cast("int")
     return ranked.join(e, "vec_id").join(q, "query_id").groupBy("query_id").agg(F.round(F.sum(hit) / 5, 6).alias("precision_at_5"), F.round(F.coalesce(F.max(hit / F.col("rank")), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
@@ -141,13 +137,14 @@ def stream_ingest(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (semantic_topk, semantic_filtered, semantic_batch, keyword_topk, keyword_phrase, keyword_not, hybrid_search, rrf_single_leg, rerank_lexical, mmr_select, retrieval_pipeline, context_assembly, retrieval_metrics, chunk_markdown, reflow_lines, paragraph_merge, cross_page_merge, stream_ingest)}
 
 _DOT = CHECK["dot"]
-_COS = lambda a, b: f"round({_DOT(a, b)} / (sqrt({_DOT(a, a)}) * sqrt({_DOT(b, b)})), 6)"
-_SEM = lambda where, k: f"SELECT c.vec_id, {_COS('c.embedding', 'q.embedding')} AS score FROM embeddings c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where} ORDER BY score DESC, vec_id LIMIT {k}"
+_RAW = lambda a, b: f"{_DOT(a, b)} / (sqrt({_DOT(a, a)}) * sqrt({_DOT(b, b)}))"
+_COS = lambda a, b: f"round({_RAW(a, b)}, 6)"
+_SEM = lambda where, k: f"SELECT c.vec_id, {_COS('c.embedding', 'q.embedding')} AS score FROM embeddings c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where} ORDER BY {_RAW('c.embedding', 'q.embedding')} DESC, vec_id LIMIT {k}"
 _PAD = "(SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS p, ws FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\n\\t\\r]+'), lambda w: w <> '') AS ws FROM documents))"
 _KEY = lambda where, words, k: f"SELECT doc_id, round(len(list_filter(ws, lambda w: w IN ({words}))) * 0.1, 6) + 0.0::DOUBLE AS score FROM {_PAD} t WHERE {where} ORDER BY score DESC, doc_id LIMIT {k}"
 _HELD = "(contains(p, ' the ') AND contains(p, ' of the ') AND NOT contains(p, ' zzz ')) OR (contains(p, ' les ') AND contains(p, ' des '))"
 _WANT = "'the', 'of', 'les', 'des'"
-_BATCH = f"SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, c.vec_id, {_COS('c.embedding', 'q.embedding')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS('c.embedding', 'q.embedding')} DESC, c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON q.vec_id < 10 AND c.vec_id <> q.vec_id) r"
+_BATCH = f"SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, c.vec_id, {_COS('c.embedding', 'q.embedding')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_RAW('c.embedding', 'q.embedding')} DESC, c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id) r"
 _FUSED = f"""SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(leg * 1000 + rank) AS first FROM (
  SELECT vec_id AS chunk_id, 0 AS leg, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM ({_SEM('true', 100)}) s UNION ALL
  SELECT doc_id, 1, row_number() OVER (ORDER BY score DESC, doc_id) FROM ({_KEY(_HELD, _WANT, 100)}) k) u GROUP BY chunk_id ORDER BY score DESC, first LIMIT 20"""
@@ -157,9 +154,9 @@ SQL = {
     "semantic_filtered": _SEM("c.label = 3", 20),
     "semantic_batch": f"{_BATCH} WHERE rank <= 5",
     "keyword_topk": _KEY(_HELD, _WANT, 20),
-    "keyword_phrase": _KEY("contains(p, ' of the ')", "'of', 'the'", 1000),
-    "keyword_not": _KEY("contains(p, ' the ') AND NOT contains(p, ' and ')", "'the'", 1000),
-    "hybrid_search": f"SELECT f.chunk_id, f.score, d.source, d.lang FROM ({_FUSED}) f JOIN documents d ON d.doc_id = f.chunk_id",
+    "keyword_phrase": _KEY("contains(p, ' of the ')", "'of', 'the'", 20),
+    "keyword_not": _KEY("contains(p, ' the ') AND NOT contains(p, ' and ')", "'the'", 20),
+    "hybrid_search": f"SELECT f.chunk_id, f.score, d.source, d.lang FROM ({_FUSED}) f LEFT JOIN documents d ON d.doc_id = f.chunk_id",
     "rrf_single_leg": f"SELECT vec_id AS chunk_id, round(1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, vec_id)), 9) AS score FROM ({_SEM('true', 100)}) s ORDER BY score DESC LIMIT 20",
     "rerank_lexical": f"SELECT chunk_id, round(len(list_intersect(h, q)) / CAST(len(list_distinct(list_concat(h, q))) AS DOUBLE), 9) AS score FROM (SELECT f.chunk_id, list_distinct(ws) AS h, ['the', 'of', 'and', 'les'] AS q FROM ({_FUSED}) f JOIN {_PAD} t ON t.doc_id = f.chunk_id) x ORDER BY score DESC, chunk_id LIMIT 10",
     "context_assembly": f"SELECT string_agg('[' || n || '] ' || source || ' — ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context, count(*) AS blocks FROM (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS n FROM ({_SEM('true', 5)}) s) r JOIN documents d ON d.doc_id = r.vec_id",
