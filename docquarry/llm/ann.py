@@ -9,7 +9,8 @@ unseen nearer point is missed with probability at most 1 - F_m(r^2 / d_k^2); the
 
 Every row is indexed; only the pass over the stated query set is in blocks against the shards. Null and zero
 vectors and vectors with null or non-finite components take no part. Fewer than k others: all are returned
-(the walk cannot stop before it has k). Ties go to the smaller id. An empty table gives an empty table.
+(the walk cannot stop before it has k). Ties go to the smaller id. An empty table gives an empty table. Vectors shorter
+than the longest take no part. Query rows that share an id give one list, the best of them all.
 """
 
 from __future__ import annotations
@@ -127,6 +128,7 @@ def ann_search(queries: DataFrame, data: DataFrame, k: int = 20, id_col: str = "
     if not head.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     top, dim = float(head.top), int(head.dim)
+    rows = rows.filter(F.size("v") == dim)
     shards = -(-head.n // shard_rows)
     plane = np.random.default_rng(seed).standard_normal((dim + 1, m))
 
@@ -151,7 +153,7 @@ def ann_search(queries: DataFrame, data: DataFrame, k: int = 20, id_col: str = "
         return pa.Table.from_arrays([pa.array([b], pa.binary()) for b in packed], ["q_ids", "q_vectors"])
 
     index = materialize(rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("shard").applyInArrow(build, "shard long, ids binary, full binary, nodes binary, low binary, high binary, ends binary"))
-    asked_rows = usable(queries, id_col, vector_col, True)
+    asked_rows = usable(queries, id_col, vector_col, True).filter(F.size("v") == dim)
     asked_blocks = max(1, -(-asked_rows.count() // query_rows))
     asked = materialize(asked_rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked_blocks))).groupBy("block").applyInArrow(gather, "q_ids binary, q_vectors binary"))
     pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).join(index, "shard")

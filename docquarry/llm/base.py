@@ -156,11 +156,12 @@ def append_columns(df: DataFrame, text_col: str, fields: str, compute, max_bytes
 
 
 def bounded_sample(df: DataFrame, keys: list[str], bound: int, rows: int | None = None) -> DataFrame:
-    """About bound rows chosen by a hash of keys, all if there are fewer; at most 2 * bound where keys repeat. No sort, no rows to the driver."""
+    """About bound rows chosen by a hash of keys, all if there are fewer; where keys repeat, of those at most 2 * bound, least hashes first. No rows to the driver."""
     from pyspark.sql import functions as F
 
     rows = df.count() if rows is None else rows
     if rows <= bound:
         return df
     wide = 1 << 30
-    return df.filter(F.pmod(F.xxhash64(*keys, F.lit(11)), F.lit(wide)) < int(wide * bound / rows)).limit(2 * bound)
+    place = F.pmod(F.xxhash64(*keys, F.lit(11)), F.lit(wide))
+    return df.filter(place < int(wide * bound / rows)).orderBy(place, *keys).limit(2 * bound)

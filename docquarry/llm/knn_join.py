@@ -12,7 +12,8 @@ arithmetic and partial lists merge by score, ties to the smaller id.
 Only block summaries (one small row per block_rows vectors) are joined to block summaries, in the blocks of
 the stated query set; a hot cell is many blocks, so no task holds it whole. Null vectors and vectors with
 null or non-finite components take no part; repeated vectors all do. Fewer than k others: all are returned.
-An empty table gives an empty table. All vectors must have one length.
+An empty table gives an empty table. Vectors shorter than the longest take no part. Query rows that share an id give
+one list, the best of them all.
 """
 
 from __future__ import annotations
@@ -80,6 +81,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 5, scale: float = 256
     if head.top is None:
         return spark.createDataFrame([], out_schema)
     top, dim = float(head.top), int(head.dim)
+    data_q, query_q = (df.filter(F.size("v") == dim) for df in (data_q, query_q))
     sample = data_q.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     p = np.array([r.v for r in sample])
     pivots = np.unique(np.column_stack((p, np.sqrt(np.maximum(top - (p * p).sum(1), 0)))), axis=0)

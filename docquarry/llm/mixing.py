@@ -1,7 +1,8 @@
 """Operator 1, mixing sources to target weights: soft membership and document rates.
 
 A softmax regression, trained on a bounded hash sample of the labelled table (max_labelled), gives each
-document a posterior over domains from its byte histogram and hashed words. Projected-gradient least squares
+document a posterior over domains from its byte histogram and hashed words; where ids repeat in the documents, at
+most four times the bound are read. Projected-gradient least squares
 then finds document rates r >= min_rate that bring the expected domain token totals sum(r * tokens * p) to
 target weight * total. Each gradient step is one distributed pass over (tokens, posterior): executors send
 K sums, the driver K numbers; a document's rate is a fold of its posterior over the short history of
@@ -127,7 +128,8 @@ def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], weights: list[
         chosen = chosen.unionByName(p)
     read = docs.select(F.col(id_col).cast("long").alias("__dq_id"), F.col(text_col).alias("text"))
     sample = append_columns(read.join(F.broadcast(chosen), "__dq_id"), "text", "x binary", lambda t: [pa.array([r.astype("<f4").tobytes() for r in features(t)[1]], pa.binary())])
-    rows = sample.select("domain", "x").limit(4 * max_labelled).collect()  # ids may repeat in docs
+    # Ids may repeat in docs: of more than four times the bound, those of the least hashes fit the model.
+    rows = sample.orderBy(F.xxhash64("__dq_id"), "x").limit(4 * max_labelled).select("domain", "x").collect()
     if rows:
         y = np.array([r.domain for r in rows])
         model = fit_softmax(np.array([np.frombuffer(r.x, "<f4") for r in rows], float), y, k)

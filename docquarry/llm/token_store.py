@@ -8,8 +8,8 @@ through Spark's committed writer (so a lost executor's part is written again) as
     magic b"DQTS" | version u16 | id width u16 | documents u32 | dictionary hash 32 bytes | offsets u64 x (documents + 1) | frames
 
 The hash names the dictionary, which lies beside the containers. A reader refuses another dictionary.
-Null and empty texts hold the end id alone; repeated ids keep one frame each, next to one another; a very
-long text is one long frame; an empty table gives no container and no row.
+Null and empty texts hold the end id alone; null ids come first; repeated ids keep one frame each, next to one another
+in the order of a hash of their texts; a very long text is one long frame; an empty table gives no container and no row.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int, dictionary_bytes: int, width: int) -> bytes:
-    """About sample_docs short serialized arrays (at most 4096 ids each) reach the driver."""
+    """About sample_docs short serialized arrays (at most 4096 ids, of the first 16384 characters, each) reach the driver."""
 
     def serialize(batches):
         for batch in batches:
@@ -70,7 +70,8 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_d
                 rows = [np.append(ids[off[i] : min(off[i + 1], off[i] + 4095)], end_id).astype(f"<u{width}").tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
 
-    sample = bounded_sample(docs, ["id"], sample_docs).select(F.coalesce(F.substring("text", 1, 16384), F.lit("")).alias("text"))
+    begun = docs.select("id", F.xxhash64("text").alias("tie"), F.coalesce(F.substring("text", 1, 16384), F.lit("")).alias("text"))
+    sample = bounded_sample(begun, ["id", "tie"], sample_docs).select("text")
     rows = [bytes(r.ids) for r in sample.repartition(8).mapInArrow(serialize, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(dictionary_bytes, rows).as_bytes()
@@ -120,7 +121,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             yield flush()
 
     partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.filter(F.col("id").isNotNull()).repartitionByRange(partitions, "id").sortWithinPartitions("id")
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(partitions, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     made = ordered.mapInArrow(contain, "shard long, tokens long, doc_ids array<long>, doc_tokens array<long>, container binary")
     made.write.option("compression", "none").parquet(f"{path}/containers")
 
@@ -135,9 +137,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32, ids) from the written files; start counts the ids of all documents before."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
     written = spark.read.parquet(f"{path}/containers")
-    # One small row a container (about a million ids): its place in the id order.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    begins = written.select("shard", "tokens").withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens")
+    # Places in the id order: of the tasks that wrote, one row each, then of a task's containers.
+    held = written.select("shard", F.shiftright("shard", 32).alias("task"), "tokens")
+    before = lambda window: F.coalesce(F.sum("tokens").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = held.groupBy("task").agg(F.sum("tokens").alias("tokens")).select("task", before(Window.orderBy("task")).alias("base"))
+    within = held.withColumn("first", before(Window.partitionBy("task").orderBy("shard")))
+    begins = within.join(tasks, "task").select("shard", (F.col("first") + F.col("base")).alias("first"))
 
     def decode(batches):
         for batch in batches:

@@ -8,7 +8,8 @@ which estimates each voter's accuracies, then from its posterior the voters' cor
 voter's evidence is shared out among those that it is correlated with. A logistic regression on the voters'
 match counts is trained on the model's posterior labels of a bounded hash sample (max_fit) and scores all.
 
-Rows with crc32(id as text) mod 4 = 2 are held out: neither their labels nor their texts are fitted on.
+Rows with crc32(id as text) mod 4 = 2 are held out: their labels are never read, and the classifier is not fitted on
+them; their texts count, unlabelled, among the label model's vote patterns. A lexicon holds at most 400 words a kind (most).
 Null and empty texts match nothing and get the score of that; repeated rows score alike; a table without
 labelled toxic rows leaves only the fixed voters; an empty table gives an empty table. Null ids are never
 held out. Columns of docs pass through; toxicity_score and toxicity replace columns of those names.

@@ -46,9 +46,9 @@ def test_token_counts_equal_the_library(spark):
 
 
 def test_token_store_round_trip(spark):
-    got = sorted(map(tuple, token_output(docs_of(spark, ODD), PATH, shard_tokens=5000).collect()))
+    got = sorted(map(tuple, token_output(docs_of(spark, ODD), PATH, shard_tokens=5000).collect()), key=lambda r: r[1])
     want, start = [], 0
-    for i, t in sorted((x for x in ODD if x[0] is not None), key=lambda x: x[0]):
+    for i, t in sorted(ODD, key=lambda x: (x[0] is not None, x[0])):
         ids = np.array([*library(t), 1], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids)))
         start += len(ids)
@@ -60,6 +60,16 @@ def test_token_store_round_trip(spark):
 def test_packing_covers_every_id(spark):
     got = pack(docs_of(spark, ODD), PATH, group_docs=4).toPandas()
     want = sum(len(library(t)) + 1 for _, t in ODD)
+    pieces = collections.defaultdict(list)
+    for r in got.itertuples():
+        pieces[r.doc_id, r.doc_tokens].append((r.start, r.length, r.ids_crc32))
+    for i, t in ODD:  # equal rows have equal pieces
+        ids = np.array([*library(t), 1], "<u4")
+        mine = pieces[i if i is not None else next(k for k, _ in pieces if k != k), len(ids)]
+        copies = sum((i, t) == x for x in ODD)
+        assert all(zlib.crc32(ids[s : s + n]) == c for s, n, c in mine)
+        assert collections.Counter(p for s, n, _ in mine for p in range(s, s + n)) == dict.fromkeys(range(len(ids)), copies)
+    assert pack(docs_of(spark, ODD).limit(0), PATH).count() == 0
     assert got.length.sum() == want and (got.groupby("sequence_id").length.sum() <= 2048).all()
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]]
@@ -74,7 +84,7 @@ def test_exact_join_and_projected_search(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(600, 8))
     m[50:250] = m[50]  # a third of the rows are one vector
-    rows = [(i, [float(x) for x in v], "x") for i, v in enumerate(m)] + [(900, None, "x"), (901, [0.0] * 8, "x"), (902, [float("nan")] * 8, "x"), (903, [None] * 8, "x")]
+    rows = [(i, [float(x) for x in v], "x") for i, v in enumerate(m)] + [(900, None, "x"), (901, [0.0] * 8, "x"), (902, [float("nan")] * 8, "x"), (903, [None] * 8, "x"), (904, [1.0] * 3, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     q = df.filter("vec_id % 50 = 0")
     z = np.floor(256 * np.vstack((m, np.zeros((1, 8))))).astype(int)
