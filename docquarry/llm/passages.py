@@ -10,9 +10,9 @@
 3. Chains: the matches of a row with one leader, as blocks of unbroken runs along a diagonal, in order of both
    positions; a Fenwick tree over leader positions holds the best chain end before a place, gap costs are linear in
    the words skipped on both sides.
-4. Windows: where seeds recur one after another but leader or diagonal changes, every window of min_words words
-   around the change is a seed too, led by the first row that holds all of it.
-5. Alignment: chains and windows are widened, and further, in rounds, on sides that still match at the edge; the
+4. Windows: where seeds recur one after another but leader or diagonal changes, every window of min_words words of
+   the stretch is a seed too, led by the first row that holds all of it: unbroken runs of them are passages at once.
+5. Alignment: chains are widened, and further, in rounds, on sides that still match at the edge; the
    words of both sides are fetched, and aligned along the chain's diagonals, +1 a match, -2 a mismatch, with a
    cost to change diagonal and a break where the score drops by more than DROP; all passages of min_words at least,
    with min_identity of words equal, are returned.
@@ -86,9 +86,9 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def changes(row: np.ndarray, pos: np.ndarray, lead: np.ndarray, diagonal: np.ndarray, k: int, size: int) -> list[tuple[int, int, int]]:
-    """(row, from, to): disjoint ranges of starts of the windows that hold two seeds next to each other of different leaders or diagonals.
+    """(row, from, to): starts of the windows in each stretch of touching seeds that have several leaders or diagonals.
 
-    The arrays: a row's recurring seeds. Ranges may reach over the text's ends, not over a gap between seeds.
+    The arrays: a row's recurring seeds. Ranges may reach over the text's ends.
     """
     order = np.lexsort((pos, row))
     row, pos, lead, diagonal = row[order], pos[order], lead[order], diagonal[order]
@@ -98,16 +98,9 @@ def changes(row: np.ndarray, pos: np.ndarray, lead: np.ndarray, diagonal: np.nda
     last = np.concatenate((breaks, [len(pos)])) - 1
     stretch = np.searchsorted(first, np.arange(len(pos)), side="right") - 1
     other = (lead[1:] != lead[:-1]) | (diagonal[1:] != diagonal[:-1])
-    at = np.flatnonzero(other & (stretch[1:] == stretch[:-1])) + 1
-    lo = np.maximum(pos[at] + k - size, pos[first[stretch[at]]] - near + 1)
-    hi = np.minimum(pos[at - 1], pos[last[stretch[at]]] + k + near - 1 - size) + 1
-    found: list[tuple[int, int, int]] = []
-    for r, a, b in zip(row[at].tolist(), lo.tolist(), hi.tolist()):
-        if found and found[-1][0] == r and a <= found[-1][2]:
-            found[-1] = (r, found[-1][1], max(b, found[-1][2]))
-        elif b > a:
-            found.append((r, a, b))
-    return found
+    mixed = np.unique(stretch[1:][other & (stretch[1:] == stretch[:-1])])
+    lo, hi = pos[first[mixed]] - near + 1, pos[last[mixed]] + k + near - size
+    return [(r, a, b) for r, a, b in zip(row[first[mixed]].tolist(), lo.tolist(), hi.tolist()) if b > a]
 
 
 def windows(texts: pa.Array, ranges: list, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,39 +271,57 @@ def segments(a: np.ndarray, b: np.ndarray, diagonals: list[int], min_words: int,
     return sorted(found)
 
 
-def linker(k: int, size: int, least: float, gap: float, far: int, slack: int, grid: int, short: bool):
-    """A function from batches (rid, m: pos, lead) to rows: links (s1 .. diagonals), and where short, ranges of windows (wide)."""
+def opened(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(rid, row, place, leader's place, leader) of the matches of a batch (rid, m: pos, lead)."""
+    lists = batch.column(1)
+    flat = lists.flatten()
+    x, lead = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+    rid = batch.column(0).to_numpy()
+    return rid, np.repeat(np.arange(len(rid)), np.diff(np.asarray(lists.offsets))), x, lead & ((1 << _PLACE) - 1), lead >> _PLACE
+
+
+def runs(rid: np.ndarray, row: np.ndarray, x: np.ndarray, y: np.ndarray, lead: np.ndarray, step: int, size: int) -> tuple[np.ndarray, ...]:
+    """Matches with other rows, in order of row, leader, diagonal and place, with the starts and words of their unbroken runs, and where a pair of rows ends."""
+    mine = lead != rid[row]
+    row, x, y, lead = row[mine], x[mine], y[mine], lead[mine]
+    order = np.lexsort((x, y - x, lead, row))
+    row, x, y, lead = row[order], x[order], y[order], lead[order]
+    pair = (row[1:] != row[:-1]) | (lead[1:] != lead[:-1])
+    fresh = np.concatenate(([True], pair | ((y - x)[1:] != (y - x)[:-1]) | (x[1:] - x[:-1] > step)))[: len(x)]
+    at = np.flatnonzero(fresh)
+    width = (x[np.append(at[1:], len(x)) - 1] - x[at] if len(at) else at) + size
+    return row, x, y, lead, at, width, pair
+
+
+def exact(size: int):
+    """A function from batches of matched windows to passages: unbroken runs of windows; in periodic text, each window that stands for others."""
+
+    def run(batches):
+        for batch in batches:
+            rid, *found = opened(batch)
+            row, x, y, lead, at, width, _ = runs(rid, *found, 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rid[row[at]], x[at], width, lead[at], y[at], width)], [f.split()[0] for f in _FOUND.split(", ")[:6]])
+
+    return run
+
+
+def linker(k: int, size: int, least: float, gap: float, far: int, slack: int, grid: int):
+    """A function from batches (rid, m: pos, lead) to rows: links (s1 .. diagonals) and ranges of windows (wide)."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            off = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            x, lead = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-            rid = batch.column(0).to_numpy()
-            row = np.repeat(np.arange(len(rid)), np.diff(off))
-            y = lead & ((1 << _PLACE) - 1)
-            lead >>= _PLACE
+            rid, row, x, y, lead = opened(batch)
             wide: list[list] = [[] for _ in rid]
-            for r, lo, hi in changes(row, x, lead, y - x, k, size) if short and len(x) else []:
+            for r, lo, hi in changes(row, x, lead, y - x, k, size) if len(x) else []:
                 wide[r].append({"lo": lo, "hi": hi})
-            mine = lead != rid[row]
-            row, x, y, lead = row[mine], x[mine], y[mine], lead[mine]
-            order = np.lexsort((x, y - x, lead, row))
-            row, x, y, lead = row[order], x[order], y[order], lead[order]
-            step = k - 1 if short else 1
-            # Blocks: unbroken runs along one diagonal.
-            pair = (row[1:] != row[:-1]) | (lead[1:] != lead[:-1])
-            fresh = np.concatenate(([True], pair | ((y - x)[1:] != (y - x)[:-1]) | (x[1:] - x[:-1] > step)))[: len(x)]
-            at = np.flatnonzero(fresh)
+            row, x, y, lead, at, width, pair = runs(rid, row, x, y, lead, k - 1, k)
             bx, by = x[at], y[at]
-            width = (x[np.append(at[1:], len(x)) - 1] - bx if len(at) else bx) + (k if short else size)
             starts = np.flatnonzero(np.concatenate(([True], pair))[: len(x)][at])
             ends = np.append(starts[1:], len(at))
             alone = ends - starts == 1
-            kept = starts[alone & (width[starts] >= least)] if short else np.arange(len(at))
+            kept = starts[alone & (width[starts] >= least)]
             links = [(at[j], bx[j], bx[j] + width[j], by[j], by[j] + width[j], [int(by[j] - bx[j])]) for j in kept.tolist()]
-            for lo, hi in zip(starts[~alone].tolist(), ends[~alone].tolist()) if short else []:
+            for lo, hi in zip(starts[~alone].tolist(), ends[~alone].tolist()):
                 for path in chains(bx[lo:hi], by[lo:hi], width[lo:hi], gap, least, far):
                     path = path + lo
                     links.append((at[lo], bx[path].min(), (bx[path] + width[path]).max(), by[path].min(), (by[path] + width[path]).max(), np.unique(by[path] - bx[path]).tolist()))
@@ -387,7 +398,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     matches = parts[0]
     for part in parts[1:]:
         matches = matches.unionByName(part)
-    told = materialize(gathered(matches).mapInArrow(linker(k, min_words, 2.0 * k, gap, far, slack, grid, True), _LINK), release=True)
+    told = materialize(gathered(matches).mapInArrow(linker(k, min_words, 2.0 * k, gap, far, slack, grid), _LINK), release=True)
     for part in parts:
         discard(part)
 
@@ -407,8 +418,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with join_filters(docs.sparkSession):
         wanted = asked.filter("id > -9223372036854775808")  # where Spark's join filter looks for a condition
         filled = materialize(base.join(wanted, "id").select("id", "text", "crc", "rid", "wide").mapInArrow(lambda batches: mine(batches, fill), "h long, rid long, pos long"), release=True)
-    shared = gathered(led(filled.select("h", packed("pos")))).mapInArrow(linker(k, min_words, 0, gap, far, slack, grid, False), _LINK)
-    linked = materialize(told.filter("wide is null").unionByName(shared).select(*names).distinct().repartition("rid"), release=True)
+    passages = materialize(gathered(led(filled.select("h", packed("pos")))).mapInArrow(exact(min_words), ", ".join(_FOUND.split(", ")[:6])), release=True)
+    linked = materialize(told.filter("wide is null").select(*names))
     for table in (told, asked, filled, *spent):
         discard(table)
 
@@ -464,10 +475,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return out
 
     done = aligned(linked)
-    passages = None
     while True:
         some = done.filter("row is not null").select("row", "start_word", "n_words", "other", "other_start_word", "matches")
-        passages = some if passages is None else passages.unionByName(some)
+        passages = passages.unionByName(some)
         if done.filter("rid is not null").isEmpty():
             break
         done = aligned(materialize(done.filter("rid is not null").select(*names).distinct().repartition("rid")))
