@@ -44,7 +44,7 @@ _PLACE = 27  # bits of a word's place; those above hold the row's number
 _NUMBER, _TASK = 23, 13  # a row's number: its place in a task, and the task
 PASSAGES = "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long, matches long, text_crc int"
 DROP = 40
-SLICES = 2  # a power of two: seeds of one slice share the top bits of their hashes
+SLICES = 4  # a power of two: seeds of one slice share the top bits of their hashes
 
 
 def checksums(texts: pa.Array) -> np.ndarray:
@@ -370,8 +370,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lists = ", ".join(f"h{i} array<long>, p{i} array<int>" for i in range(SLICES))
     scanned = materialize(base.mapInArrow(find, f"id long, crc int, {lists}"))
     rows = materialize(numbered(scanned.select("id", "crc").distinct()))
-    found = materialize(scanned.join(rows, ["id", "crc"]).drop("id", "crc"), release=True)
-    discard(scanned)
 
     spent: list[DataFrame] = []
 
@@ -392,9 +390,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     parts = []
     for i in range(SLICES):
-        seed = found.filter(F.size(f"h{i}") > 0).select("rid", F.inline(F.arrays_zip(F.col(f"h{i}").alias("h"), F.col(f"p{i}").alias("pos")))).select("h", packed("pos"))
+        seed = scanned.filter(F.size(f"h{i}") > 0).select("id", "crc", f"h{i}", f"p{i}").join(rows, ["id", "crc"]).select("rid", F.inline(F.arrays_zip(F.col(f"h{i}").alias("h"), F.col(f"p{i}").alias("pos")))).select("h", packed("pos"))
         parts.append(materialize(led(seed), release=True))
-    discard(found)
+    discard(scanned)
     matches = parts[0]
     for part in parts[1:]:
         matches = matches.unionByName(part)
