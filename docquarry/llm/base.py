@@ -35,18 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, release: bool = False) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a written table in the shared folder; survives lost executors.
 
-    release: after a large step, let Spark's cleaner delete the finished query's shuffle files now rather than
-    when the driver next happens to collect its garbage.
+    Spark removes the write's own shuffle files as soon as it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docquarry/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._docquarry_path = path
     return out
@@ -59,17 +68,10 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextmanager
-def join_filters(spark: SparkSession) -> Iterator[None]:
+def join_filters(spark: SparkSession):
     """Let Spark build its own Bloom filters (bounded by its creationSideThreshold and maxNumBits) for joins of a
     selective small table with a large scan of any size, so that rows without a partner are not shuffled."""
-    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return setting(spark, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
 
 
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -107,7 +107,7 @@ def _classes(base: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
 
     seen = materialize(base.mapInArrow(scan, "id long, n long, s1 long, s2 long, parts array<long>, needs array<long>"))
     classes = seen.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("first_id"))
-    return seen, materialize(classes.withColumn("rid", F.monotonically_increasing_id()), release=True)
+    return seen, materialize(classes.withColumn("rid", F.monotonically_increasing_id()))
 
 
 def _candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
         own = F.expr(f"filter(parts, t -> pmod(shiftright(t, 7), {PASSES}) = {i})")
         postings = named.select(*keys, own.alias("own")).join(classes.select("rid", *keys), keys).select("rid", F.explode("own").alias("t"))
         shared = postings.groupBy("t").agg(F.count("*").alias("c")).filter("c >= 2").select("t")
-        some = materialize(postings.join(shared, "t").groupBy("rid", F.col("t").bitwiseAND(_CLASS_BITS).alias("class")).agg(F.count("*").alias("hits")), release=True)
+        some = materialize(postings.join(shared, "t").groupBy("rid", F.col("t").bitwiseAND(_CLASS_BITS).alias("class")).agg(F.count("*").alias("hits")))
         found = some if found is None else found.unionByName(some)
     hits = found.groupBy("rid", "class").agg(F.sum("hits").alias("hits"))
     needs = named.select(*keys, F.explode("needs").alias("need")).join(classes, keys).select("rid", "first_id", "s1", "s2", F.col("need").bitwiseAND(_CLASS_BITS).alias("class"), F.shiftright("need", 7).alias("need"))
@@ -127,7 +127,7 @@ def _candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
     # The condition stands again over the written table, where Spark's join filter looks for one.
     held = needs.join(hits, ["rid", "class"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))).filter(enough)
     chosen = held.groupBy("rid").agg(*(F.any_value(c).alias(c) for c in ("first_id", "s1", "s2")), F.max("hits").alias("hits"), F.min("need").alias("need"))
-    return materialize(chosen, release=True).filter(enough)
+    return materialize(chosen).filter(enough)
 
 
 def _whole_sets(base: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _whole_sets(base: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
 
     texts = chosen.join(base, chosen.first_id == base.id).select("rid", "s1", "s2", "text")
     with join_filters(base.sparkSession):
-        return materialize(texts.mapInArrow(sets, "rid long, n long, tokens array<long>"), release=True)
+        return materialize(texts.mapInArrow(sets, "rid long, n long, tokens array<long>"))
 
 
 def _prefixes(whole: DataFrame, num: int, den: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _prefixes(whole: DataFrame, num: int, den: int) -> DataFrame:
                 a, b, c, d, e = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int32()), list_array(np.concatenate(e), np.concatenate(([0], np.cumsum([len(x) for x in e]))), pa.int64())], ["rid", "n", "u", "l", "pre"])
 
-    return materialize(back.mapInArrow(choose, "rid long, n long, u long, l int, pre array<long>"), release=True)
+    return materialize(back.mapInArrow(choose, "rid long, n long, u long, l int, pre array<long>"))
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
@@ -231,7 +231,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     final = connected_components(first.unionByName(second))
     known = classes.select("rid", "n", "s1", "s2", "first_id").join(final, F.col("rid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rid"))
     heads = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labelled = materialize(known.join(heads, "component").select("n", "s1", "s2", "first_id", "component_id"), release=True)
+    labelled = materialize(known.join(heads, "component").select("n", "s1", "s2", "first_id", "component_id"))
     discard(whole)
     return rows, labelled
 

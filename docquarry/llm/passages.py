@@ -391,12 +391,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts = []
     for i in range(SLICES):
         seed = scanned.filter(F.size(f"h{i}") > 0).select("id", "crc", f"h{i}", f"p{i}").join(rows, ["id", "crc"]).select("rid", F.inline(F.arrays_zip(F.col(f"h{i}").alias("h"), F.col(f"p{i}").alias("pos")))).select("h", packed("pos"))
-        parts.append(materialize(led(seed), release=True))
+        parts.append(materialize(led(seed)))
     discard(scanned)
     matches = parts[0]
     for part in parts[1:]:
         matches = matches.unionByName(part)
-    told = materialize(gathered(matches).mapInArrow(linker(k, min_words, 2.0 * k, gap, far, slack, grid), _LINK), release=True)
+    told = materialize(gathered(matches).mapInArrow(linker(k, min_words, 2.0 * k, gap, far, slack, grid), _LINK))
     for part in parts:
         discard(part)
 
@@ -415,8 +415,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     asked = materialize(told.filter("wide is not null").select("rid", "wide").join(rows, "rid"))
     with join_filters(docs.sparkSession):
         wanted = asked.filter("id > -9223372036854775808")  # where Spark's join filter looks for a condition
-        filled = materialize(base.join(wanted, "id").select("id", "text", "crc", "rid", "wide").mapInArrow(lambda batches: mine(batches, fill), "h long, rid long, pos long"), release=True)
-    passages = materialize(gathered(led(filled.select("h", packed("pos")))).mapInArrow(exact(min_words), ", ".join(_FOUND.split(", ")[:6])), release=True)
+        filled = materialize(base.join(wanted, "id").select("id", "text", "crc", "rid", "wide").mapInArrow(lambda batches: mine(batches, fill), "h long, rid long, pos long"))
+    passages = materialize(gathered(led(filled.select("h", packed("pos")))).mapInArrow(exact(min_words), ", ".join(_FOUND.split(", ")[:6])))
     linked = materialize(told.filter("wide is null").select(*names))
     for table in (told, asked, filled, *spent):
         discard(table)
@@ -463,11 +463,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             wanted = asked.filter("id > -9223372036854775808")
             held = base.join(wanted, "id").select("id", "text", "crc", "rid", "spans").mapInArrow(lambda batches: mine(batches, cut), "rid long, s long, e long, words array<int>")
             # Equal rows give equal spans. Written, so that the joins below read plain shuffles, which can be split.
-            held = materialize(held.groupBy("rid", "s", "e").agg(F.first("words").alias("words")), release=True)
+            held = materialize(held.groupBy("rid", "s", "e").agg(F.first("words").alias("words")))
         left = held.select("rid", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("words").alias("a"))
         right = held.select(F.col("rid").alias("lid"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("words").alias("b"))
         both = linked.join(left, ["rid", "s1", "e1"]).join(right, ["lid", "s2", "e2"]).select(*names, "a", "b")
-        out = materialize(both.mapInArrow(compare, _FOUND), release=True)
+        out = materialize(both.mapInArrow(compare, _FOUND))
         for table in (asked, held, linked):
             discard(table)
         return out
