@@ -380,6 +380,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         spent.append(materialize(lead.select("h", "lead")))
         return seed.join(spent[-1], "h").select("p", "lead")
 
+    def clear(*tables: DataFrame) -> None:
+        for table in (*tables, *spent):
+            discard(table)
+        spent.clear()
+
     def gathered(matches: DataFrame) -> DataFrame:
         # Bounded by a row's own seeds; a set, for rows that are equal.
         pos = F.col("p").bitwiseAND((1 << _PLACE) - 1).cast("int")
@@ -391,14 +396,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts = []
     for i in range(SLICES):
         seed = scanned.filter(F.size(f"h{i}") > 0).select("id", "crc", f"h{i}", f"p{i}").join(rows, ["id", "crc"]).select("rid", F.inline(F.arrays_zip(F.col(f"h{i}").alias("h"), F.col(f"p{i}").alias("pos")))).select("h", packed("pos"))
+        # Written, as it is read twice, by the aggregate and by the join back.
+        seed = materialize(seed)
         parts.append(materialize(led(seed)))
+        clear(seed)
     discard(scanned)
     matches = parts[0]
     for part in parts[1:]:
         matches = matches.unionByName(part)
     told = materialize(gathered(matches).mapInArrow(linker(k, min_words, 2.0 * k, gap, far, slack, grid), _LINK))
-    for part in parts:
-        discard(part)
+    clear(*parts)
 
     def mine(batches, act):
         """act on the parts of batches (id, text, crc, ..) less the rows of these ids with other texts."""
@@ -418,8 +425,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         filled = materialize(base.join(wanted, "id").select("id", "text", "crc", "rid", "wide").mapInArrow(lambda batches: mine(batches, fill), "h long, rid long, pos long"))
     passages = materialize(gathered(led(filled.select("h", packed("pos")))).mapInArrow(exact(min_words), ", ".join(_FOUND.split(", ")[:6])))
     linked = materialize(told.filter("wide is null").select(*names))
-    for table in (told, asked, filled, *spent):
-        discard(table)
+    clear(told, asked, filled)
 
     def cut(part):
         h, off = words(part.column(1))
