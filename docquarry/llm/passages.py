@@ -191,8 +191,11 @@ def chains(x: np.ndarray, y: np.ndarray, size: np.ndarray, gap: float, least: fl
     return found
 
 
-def align(a: np.ndarray, b: np.ndarray, diagonals: list[int], mismatch: int = -2, jump: int = -4) -> tuple[int, int, int, int, int]:
-    """The best local alignment along the diagonals (b's place minus a's): (a start, a end, b start, b end, matches)."""
+def align(a: np.ndarray, b: np.ndarray, diagonals: list[int], mismatch: float = -2, jump: float = -4, floor: float = 0) -> tuple[int, int, int, int, int]:
+    """The best local alignment along the diagonals (b's place minus a's): (a start, a end, b start, b end, matches).
+
+    One that scores less than floor need not be found.
+    """
     n = len(a)
     places = np.arange(n)[:, None] + np.array(diagonals)[None]
     inside = (places >= 0) & (places < len(b))
@@ -214,12 +217,29 @@ def align(a: np.ndarray, b: np.ndarray, diagonals: list[int], mismatch: int = -2
             lo, hi, best = max(sides, key=lambda x: x[2][4] + mismatch * (x[2][1] - x[2][0] - x[2][4]))
             return best[0] + lo, best[1] + lo, *best[2:]
         return start, end, start + d, end + d, int(equal[start:end, 0].sum())
+    # The score that every word equal on any diagonal would give: none scores more, and where it is 0 all begin anew.
+    total = np.concatenate(([0.0], np.cumsum(np.where(equal.any(1), 1.0, mismatch))))
+    bound = total - np.minimum.accumulate(total)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], bound[1:] > 0, [False])).astype(np.int8)))
+    tops = np.maximum.reduceat(np.append(bound[1:], 0), edges)[::2] if len(edges) else edges
+    best, first = (0, 0, 0, 0, 0, 0), n
+    for z in np.argsort(-tops, kind="stable").tolist():
+        lo, hi = int(edges[2 * z]), int(edges[2 * z + 1])
+        if tops[z] < max(floor - 1e-6, best[0]):
+            break
+        here = _along(equal[lo:hi].tolist(), lo, diagonals, mismatch, jump)
+        if here[0] > best[0] or (here[0] == best[0] and lo < first):
+            best, first = here, lo
+    return best[1:]
+
+
+def _along(rows: list, at: int, diagonals: list[int], mismatch: float, jump: float) -> tuple[float, int, int, int, int, int]:
+    """(score, a start, a end, b start, b end, matches) of the best alignment in rows of words equal by diagonal, the first of them word at."""
     count = len(diagonals)
-    score, begin = [0] * count, [(0, d) for d in diagonals]
+    score, begin = [0] * count, [(at, at + d) for d in diagonals]
     hits, peak = [0] * count, [0] * count
     best = (0, 0, 0, 0, 0, 0)
-    rows = equal.tolist()
-    for i in range(n):
+    for i, row in enumerate(rows, at):
         top = max(range(count), key=score.__getitem__)
         s_top, b_top, h_top, p_top = score[top], begin[top], hits[top], peak[top]
         for c in range(count):
@@ -228,14 +248,14 @@ def align(a: np.ndarray, b: np.ndarray, diagonals: list[int], mismatch: int = -2
                 s, from_, h, most = s_top + jump, b_top, h_top, p_top
             if s <= 0 or most - s > DROP:
                 s, from_, h, most = 0, (i, i + diagonals[c]), 0, 0
-            if rows[i][c]:
+            if row[c]:
                 s, h = s + 1, h + 1
             else:
                 s += mismatch
             score[c], begin[c], hits[c], peak[c] = s, from_, h, max(most, s)
             if s > best[0]:
                 best = (s, from_[0], i + 1, from_[1], i + 1 + diagonals[c], h)
-    return best[1:]
+    return best
 
 
 def segments(a: np.ndarray, b: np.ndarray, diagonals: list[int], min_words: int, min_identity: float) -> list[tuple[int, int, int, int, int]]:
@@ -253,10 +273,10 @@ def segments(a: np.ndarray, b: np.ndarray, diagonals: list[int], min_words: int,
         cost = min(-2, ratio) if level else -2
         if level == 1:
             cost += 0.5 / len(a)  # of exactly min_identity: positive
-        a0, a1, b0, b1, same = align(a[lo:hi], b, [d + lo for d in along], cost)
-        n = a1 - a0
         # No passage scores less than this, and none here more than the best.
         least = max(1e-9, min_words * (min_identity + cost * (1 - min_identity)) - 4 * (len(along) - 1))
+        a0, a1, b0, b1, same = align(a[lo:hi], b, [d + lo for d in along], cost, floor=least)
+        n = a1 - a0
         if not n or same + cost * (n - same) < least:
             continue
         a0, a1 = a0 + lo, a1 + lo

@@ -18,7 +18,7 @@ from docquarry.llm.jaccard import drop_near_duplicates, jaccard_join
 from docquarry.llm.knn_join import knn_join
 from docquarry.llm.mixing import fold_rates, mix
 from docquarry.llm.packing import balance, pack
-from docquarry.llm.passages import align, chains, remove_passages, repeated_passages
+from docquarry.llm.passages import _along, align, chains, remove_passages, repeated_passages
 from docquarry.llm.queries import QUERIES
 from docquarry.llm.token_counts import token_counts
 from docquarry.llm.token_store import Container, pack_container, token_output
@@ -256,6 +256,19 @@ def test_chains_against_all_pairs():
         assert all(x[a] + size[a] <= x[b] and y[a] + size[a] <= y[b] for a, b in zip(top, top[1:]))
 
 
+def test_alignment_by_zones_against_the_whole():
+    rng = np.random.default_rng(35)
+    for _ in range(200):
+        b = rng.integers(0, int(rng.choice([2, 5, 50])), int(rng.integers(1, 200)))
+        a = np.where(rng.random(len(b)) < 0.2, 0, b)[int(rng.integers(0, len(b))) :]
+        diagonals = sorted({len(b) - len(a), *rng.integers(-20, 60, 3).tolist()})
+        if len(diagonals) > 1:
+            at = np.arange(len(a))[:, None] + np.array(diagonals)[None]
+            equal = (at >= 0) & (at < len(b)) & (b[np.clip(at, 0, len(b) - 1)] == a[:, None])
+            for cost in (-2, -4, -9):
+                assert align(a, b, diagonals, cost) == _along(equal.tolist(), 0, diagonals, cost, -4)[1:]
+
+
 def test_every_exact_passage_is_found(spark):
     """Texts built of few shared bits, against all windows: a run of 58 words that an earlier row holds is covered but for 4 at its ends."""
     rng = np.random.default_rng(34)
