@@ -91,6 +91,9 @@ def test_exact_join_and_projected_search(spark):
     ids = np.array([*range(600), 901])
     want = {(int(a), r + 1, int(ids[j]), int(s[j])) for a in range(0, 600, 50) for s in [z @ z[a]] for r, j in enumerate([j for j in np.lexsort((ids, -s)) if ids[j] != a][:5])}
     assert {tuple(r) for r in knn_join(q, df, block_rows=64, n_pivots=8).collect()} == want
+    # Many small blocks, of fewer rows than k + 1 too, with pivots that grow in number and whole cells tried first.
+    for rows in (3, 16):
+        assert {tuple(r) for r in knn_join(q, df, block_rows=rows, query_rows=5, n_pivots=2).collect()} == want
     got = ann_search(q, df, k=10, shard_rows=200).toPandas()
     hit = 0
     for a, g in got.groupby("query_id"):
