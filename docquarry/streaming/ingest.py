@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; on one machine, where none is named, one beside the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-streams").rstrip("/")
+
+
 def ingest_available(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
     """Read what lies at path as a stream, once; return (doc_id, checksum) of the table at target."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquarry-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     target = target or f"{root}/table"
     schema = spark.read.parquet(path).schema
 
