@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators.nearest import nearest
+
 
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -30,11 +32,12 @@ def semantic_search(chunks: DataFrame, query: list[float], k: int = 20) -> DataF
 def semantic_batch(chunks: DataFrame, wanted, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k nearest other rows of every row for which wanted holds.
 
-    The stated query set meets all rows; a task cuts its own rows to k a query before the shuffle (the window's group limit).
+    The stated query set meets all rows, in blocks; a shard of the rows keeps k a query before they are ranked.
     """
-    e = chunks.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    q = e.filter(wanted).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score")).filter(F.col("score").isNotNull())
+    kinds = dict(chunks.dtypes)
+    e = chunks.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = chunks.filter(wanted).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    scored = nearest(e, q, k, True).select(F.col("query_id").cast(kinds["vec_id"]), F.col("id").cast(kinds["vec_id"]).alias("vec_id"), "score")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long"))
     return ranked.filter(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 
