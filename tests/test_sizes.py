@@ -36,3 +36,9 @@ def test_nearest_rows_are_the_folds_best_with_copies_nulls_and_lengths(spark):
     assert sorted((r.query_id, r.vec_id, r["rank"]) for r in found.collect()) == sorted(want)
     # Blocks of rows meet, no pair of rows is a row of the plan.
     assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_batch_searches_have_no_row_for_a_pair(spark):
+    for name in ("mmr_select", "retrieval_metrics"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
