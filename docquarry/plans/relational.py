@@ -55,7 +55,7 @@ WRITERS = {
     "dedup_checksum": lambda d: f"SELECT min(doc_id) AS doc_id, checksum FROM (SELECT doc_id, {d['sha']('text')} AS checksum FROM documents) h GROUP BY checksum",
     "ingest_new_only": lambda d: f"SELECT n.doc_id FROM (SELECT doc_id, {d['sha']('text')} AS c FROM documents) n LEFT JOIN (SELECT DISTINCT {d['sha']('text')} AS c FROM documents WHERE lang = 'en') o ON n.c = o.c WHERE o.c IS NULL",
     "ingest_report": lambda d: f"SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(CASE WHEN empty THEN 0 ELSE 1 END) AS BIGINT) AS ingested, CAST(sum(n - 1) AS BIGINT) AS skipped, CAST(sum(CASE WHEN empty THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM (SELECT count(*) AS n, max(CASE WHEN text = '' THEN 1 ELSE 0 END) = 1 AS empty FROM documents GROUP BY {d['sha']('text')}) r",
-    "document_rows": lambda d: "SELECT doc_id, 'doc_' || doc_id AS title, 'pdf' AS source_type, CAST(1 + n_chars / 3000 AS BIGINT) AS total_pages FROM documents WHERE text IS NOT NULL" if not d["r"] else "SELECT doc_id, concat('doc_', doc_id) AS title, 'pdf' AS source_type, CAST(round(1 + n_chars / 3000) AS BIGINT) AS total_pages FROM documents WHERE text IS NOT NULL",
+    "document_rows": lambda d: "SELECT doc_id, 'doc_' || doc_id AS title, 'pdf' AS source_type, CAST(1 + n_chars / 3000 AS BIGINT) AS total_pages FROM documents WHERE text IS NOT NULL" if not d["r"] else "SELECT doc_id, concat('doc_', doc_id) AS title, 'pdf' AS source_type, CAST(rint(1 + n_chars / 3000) AS BIGINT) AS total_pages FROM documents WHERE text IS NOT NULL",
     "chunk_rows": lambda d: "SELECT d.doc_id, e.vec_id, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id",
     "seed_chunks_resolved": lambda d: "SELECT l.doc_id, l.quality, d.source FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0",
     "seed_chunks_rejected": lambda d: "SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.doc_id % 2 = 0)",

@@ -42,3 +42,19 @@ def test_batch_searches_have_no_row_for_a_pair(spark):
     for name in ("mmr_select", "retrieval_metrics"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def made(spark, tmp_path, name, documents: pd.DataFrame):
+    """(rows of a query, rows of its SQL) on documents alone."""
+    documents.to_parquet(tmp_path / "documents.parquet", index=False)
+    (tmp_path / "pages.parquet").symlink_to(f"{SF}/pages.parquet")  # read where its name stands in a query's text
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    found = entry.queries()[name](spark, str(tmp_path))
+    want = con.execute(entry.oracle_sql()[name]).df()[found.columns]
+    return sorted(map(tuple, found.collect()), key=str), sorted((tuple(r) for r in want.astype(object).where(want.notna(), None).itertuples(index=False, name=None)), key=str)
+
+
+def test_pages_of_a_half_go_to_the_even_number(spark, tmp_path):
+    got, want = made(spark, tmp_path, "document_rows", pd.DataFrame({"doc_id": range(8), "text": "x", "n_chars": [0, 1499, 1500, 4500, 7500, 10500, 4501, 3000]}))
+    assert got == want
