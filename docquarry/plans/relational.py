@@ -45,6 +45,19 @@ def quality(d):
  FROM (SELECT doc_id, x0, count(*) AS k, sum(CASE WHEN y0 < 0.05 * 800 OR y1 > 0.95 * 800 THEN 0 ELSE 1 END) AS c FROM {blocks(d)} b GROUP BY doc_id, x0) g GROUP BY doc_id) l ON l.doc_id = t.doc_id) q"""
 
 
+_WORDS = r"filter(split(lower(text), r'[ \n\t\r]+'), w -> w <> '')"
+#: Words are counted document by document: once each for tf, and the distinct ones for df. Rows that share an id are one document.
+SPARK_INDEX = f"""SELECT u.word AS lexeme, CAST(sum(u.df) AS BIGINT) AS df, CAST(sum(u.tf) AS BIGINT) AS tf FROM (
+ SELECT explode(concat(transform(ws, w -> struct(w AS word, 0 AS df, 1 AS tf)), CASE WHEN doc_id IS NULL THEN array() ELSE transform(array_distinct(ws), w -> struct(w AS word, 1 AS df, 0 AS tf)) END)) AS u FROM (
+ SELECT doc_id, {_WORDS} AS ws FROM documents LEFT ANTI JOIN (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) m USING (doc_id)
+ UNION ALL SELECT doc_id, flatten(collect_list({_WORDS})) FROM documents LEFT SEMI JOIN (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) m USING (doc_id) GROUP BY doc_id) t) v GROUP BY u.word"""
+
+
+def last_words(n):
+    """The last words of each document, cut before any shuffle, with their places."""
+    return f"(SELECT doc_id, CAST(size(ws) - size(tail) + p AS BIGINT) AS wn, word FROM (SELECT doc_id, ws, slice(ws, greatest(1, size(ws) - {n - 1}), {n}) AS tail FROM (SELECT doc_id, {_WORDS} AS ws FROM documents) a) b LATERAL VIEW posexplode(tail) x AS p, word)"
+
+
 WRITERS = {
     # catalogue
     "documents_list": lambda d: "SELECT d.doc_id, d.source, count(l.turn) AS chunk_count FROM documents d LEFT JOIN conversations l ON d.doc_id = l.conv_id GROUP BY d.doc_id, d.source ORDER BY d.doc_id DESC LIMIT 50 OFFSET 20",
@@ -95,11 +108,11 @@ WRITERS = {
     "block_kinds": lambda d: f"SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN trim(line) = '' THEN 'blank' WHEN line LIKE '|%|' THEN 'table' WHEN line LIKE '[Figure:%]' THEN 'figure' WHEN {d['like']}(line, {d['r']}'^#+ +') THEN 'heading' ELSE 'paragraph' END AS kind FROM {markdown(d)} m) k GROUP BY doc_id, kind",
     "sentences": lambda d: f"SELECT doc_id, CAST({'size(split(marked, chr(1)))' if d['r'] else 'len(string_split(marked, chr(1)))'} AS BIGINT) AS n_sentences FROM (SELECT doc_id, regexp_replace(text, {d['r']}'([.!?])[ \\n\\t\\r]+([A-Z])', {('concat(' + chr(39) + '$1' + chr(39) + ', chr(1), ' + chr(39) + '$2' + chr(39) + ')') if d['r'] else (chr(39) + chr(92) + '1' + chr(39) + ' || chr(1) || ' + chr(39) + chr(92) + '2' + chr(39))}{d['g']}) AS marked FROM documents) s",
     "token_windows": lambda d: f"SELECT doc_id, wn // 64 AS window_no, count(*) AS n_tokens, min(wn) AS first_token FROM {d['words']} w GROUP BY doc_id, wn // 64" if not d["r"] else f"SELECT doc_id, wn div 64 AS window_no, count(*) AS n_tokens, min(wn) AS first_token FROM {d['words']} w GROUP BY doc_id, wn div 64",
-    "overlap_tail": lambda d: f"SELECT doc_id, {d['agg']('word', chr(39) + ' ' + chr(39), 'wn')} AS tail FROM (SELECT doc_id, wn, word, row_number() OVER (PARTITION BY doc_id ORDER BY wn DESC) AS back FROM {d['words']} w) b WHERE back <= 16 GROUP BY doc_id",
+    "overlap_tail": lambda d: f"SELECT doc_id, {d['agg']('word', chr(39) + ' ' + chr(39), 'wn')} AS tail FROM (SELECT doc_id, wn, word, row_number() OVER (PARTITION BY doc_id ORDER BY wn DESC) AS back FROM {last_words(16) if d['r'] else d['words']} w) b WHERE back <= 16 GROUP BY doc_id",
     "chunk_flags": lambda d: f"SELECT doc_id, max(CASE WHEN line LIKE '|%|' THEN 1 ELSE 0 END) = 1 AS has_table, max(CASE WHEN line LIKE '[Figure:%]' THEN 1 ELSE 0 END) = 1 AS has_figure, sum(length(line)) > 5000 AS is_oversized FROM {markdown(d)} m GROUP BY doc_id",
     "neighbour_expand": lambda d: f"SELECT c.doc_id, c.ln, coalesce(b.ln, -1) AS before_ln, coalesce(a.ln, -1) AS after_ln FROM (SELECT doc_id, ln FROM {d['lines']} x) c LEFT JOIN (SELECT doc_id, ln FROM {d['lines']} y) b ON b.doc_id = c.doc_id AND b.ln = c.ln - 1 LEFT JOIN (SELECT doc_id, ln FROM {d['lines']} z) a ON a.doc_id = c.doc_id AND a.ln = c.ln + 1",
     "token_counts_simple": lambda d: f"SELECT doc_id, count(*) AS n_tokens FROM {d['words']} w GROUP BY doc_id",
-    "inverted_index": lambda d: f"SELECT word AS lexeme, count(DISTINCT doc_id) AS df, count(*) AS tf FROM {d['words']} w GROUP BY word",
+    "inverted_index": lambda d: f"SELECT word AS lexeme, count(DISTINCT doc_id) AS df, count(*) AS tf FROM {d['words']} w GROUP BY word" if not d["r"] else SPARK_INDEX,
     # routing, prompts
     "route_keyword": lambda d: f"SELECT conv_id, turn, CASE WHEN {d['like']}(q, {d['r']}'{ROUTE}') THEN 'structured' ELSE 'retrieval' END AS query_type, CASE WHEN {d['like']}(q, {d['r']}'{ROUTE}') THEN 0.95 ELSE 0.5 END + CAST(0 AS DOUBLE) AS confidence FROM (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN text || ' NORAD ID?' WHEN 1 THEN 'turtles ' || text WHEN 2 THEN 'the orbital period of ' || text ELSE text END AS q FROM conversations WHERE role = 'user') c",
     "route_json": lambda d: (

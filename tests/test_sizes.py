@@ -58,3 +58,21 @@ def made(spark, tmp_path, name, documents: pd.DataFrame):
 def test_pages_of_a_half_go_to_the_even_number(spark, tmp_path):
     got, want = made(spark, tmp_path, "document_rows", pd.DataFrame({"doc_id": range(8), "text": "x", "n_chars": [0, 1499, 1500, 4500, 7500, 10500, 4501, 3000]}))
     assert got == want
+
+
+ODD = pd.DataFrame({"doc_id": [1, 2, 3, 4, 5, 5, None, None], "text": ["A b\tc  a", "", None, " ".join(f"w{i % 7} x{i}" for i in range(40)), "p q p", "q r s t", "lost word", "lost b"]}).astype({"doc_id": "Int64"})
+
+
+def test_index_counts_documents_by_id(spark, tmp_path):
+    got, want = made(spark, tmp_path, "inverted_index", ODD)
+    assert got == want and dict((r[0], r[1]) for r in got)["q"] == 1
+    # Partial counts go by word alone.
+    plan = entry.queries()["inverted_index"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(lexeme" not in plan and "hashpartitioning(word#" in plan.replace("_groupingexpression", "word") and "doc_id" not in "".join(line for line in plan.split("\n") if "hashpartitioning(word" in line)
+
+
+def test_tail_of_documents_longer_and_shorter_than_it(spark, tmp_path):
+    got, want = made(spark, tmp_path, "overlap_tail", ODD[:5])
+    assert got == want and len(got) == 3
+    plan = entry.queries()["overlap_tail"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan  # all words of a text do not go through the window
