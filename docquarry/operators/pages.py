@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.healing import BULLETS
+from docquarry.operators.batches import by_group, pieces, release
 
 
 def reflow(text: str) -> str:
@@ -34,17 +35,22 @@ def reflow(text: str) -> str:
 
 
 def reflow_documents(docs: DataFrame) -> DataFrame:
-    @F.pandas_udf("string")
-    def go(s: pd.Series) -> pd.Series:
-        return s.fillna("").map(reflow)
+    """(doc_id, text) in pieces of bounded size; null texts are empty."""
 
-    return docs.select("doc_id", go("text").alias("text"))
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([reflow(t or "") for t in part.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            release()
 
+    kept = docs.select("doc_id", "text")
+    return kept.mapInArrow(run, kept.schema)
 
-def merge_paragraphs(page: pd.DataFrame, body: float) -> pd.DataFrame:
+
+def merge_paragraphs(page: list[dict], body: float) -> list[dict]:
     """One page's blocks in reading order; each step looks at the merged box so far."""
     out: list[dict] = []
-    for b in page.to_dict("records"):
+    for b in page:
         p = out[-1] if out else None
         joins = False
         if p is not None:
@@ -60,12 +66,17 @@ def merge_paragraphs(page: pd.DataFrame, body: float) -> pd.DataFrame:
             p |= {"x0": min(p["x0"], b["x0"]), "x1": max(p["x1"], b["x1"]), "y1": max(p["y1"], b["y1"])}
         else:
             out.append(dict(b))
-    return pd.DataFrame(out, columns=page.columns)
+    return out
 
 
 def merge_page_blocks(blocks: DataFrame, body: float = 10.0) -> DataFrame:
     """blocks(doc_id, page, seq, text, x0, y0, x1, y1, font_size, is_bold), merged page by page; a page is bounded."""
-    return blocks.groupBy("doc_id", "page").applyInPandas(lambda p: merge_paragraphs(p.sort_values("seq"), body), blocks.schema)
+    names = blocks.columns
+
+    def make(rows):
+        return [tuple(b.values()) for b in merge_paragraphs([dict(zip(names, r)) for r in rows], body)]
+
+    return by_group(blocks, ["doc_id", "page"], "seq", make, "text")
 
 
 def merge_pages(texts: list[str], passes: int = 4, reach: int = 3) -> list[str]:
@@ -103,8 +114,7 @@ def merge_pages(texts: list[str], passes: int = 4, reach: int = 3) -> list[str]:
 def merge_document_pages(pages: DataFrame) -> DataFrame:
     """pages(doc_id, page, text); the pages of one document are one group, bounded by the document."""
 
-    def go(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page")
-        return group.assign(text=merge_pages(group["text"].tolist()))
+    def make(rows):
+        return [(*r[:2], text) for r, text in zip(rows, merge_pages([r[2] or "" for r in rows]))]
 
-    return pages.select("doc_id", "page", "text").groupBy("doc_id").applyInPandas(go, "doc_id long, page int, text string")
+    return by_group(pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text"), ["doc_id"], "page", make, "text")

@@ -76,3 +76,32 @@ def test_tail_of_documents_longer_and_shorter_than_it(spark, tmp_path):
     assert got == want and len(got) == 3
     plan = entry.queries()["overlap_tail"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" in plan  # all words of a text do not go through the window
+
+
+def test_groups_cross_batches_and_pieces_whole(spark):
+    from docquarry.operators.batches import by_group
+
+    rows = [(i % 3, i, "x" * (i % 5)) for i in range(3000)] + [(None, 1, None)]
+    df = spark.createDataFrame(rows, "g long, o int, t string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = by_group(df, ["g"], "o", lambda held: [(held[0][0], len(held), "".join(str(r[1]) for r in held[:4]))], "t").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, found), key=str) == [(0, 1000, "0369"), (1, 1000, "14710"), (2, 1000, "25811"), (None, 1, "1")]
+
+
+def test_merges_run_in_one_arrow_pass(spark):
+    for name in ("paragraph_merge", "cross_page_merge"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_texts_pass_in_pieces():
+    import pyarrow as pa
+
+    from docquarry.operators.batches import PIECE_CHARS, pieces
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["x" * (PIECE_CHARS // 2)] * 7 + [None, "y" * 3 * PIECE_CHARS])], ["k", "t"])
+    cut = list(pieces(batch, 1))
+    assert [k for p in cut for k in p.column(0).to_pylist()] == list(range(9)) and [p.num_rows for p in cut] == [2, 2, 2, 2, 1]
