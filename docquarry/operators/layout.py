@@ -7,11 +7,15 @@ tables give empty tables; blocks with null coordinates are placed nowhere and ke
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.healing import BOILERPLATE, CAPTION
+from docquarry.operators.batches import values
 
 PAGE = ["doc_id", "page"]
 
@@ -137,7 +141,7 @@ def words_to_table(words: list[tuple[float, float, float, float, str]], box: tup
     for row in rows:
         cells: list[list[str]] = [[] for _ in range(len(cuts) + 1)]
         for w in sorted(row, key=lambda w: w[0]):
-            cells[sum((w[0] + w[2]) / 2 >= c for c in cuts)].append(w[4])
+            cells[bisect_right(cuts, (w[0] + w[2]) / 2)].append(w[4])
         texts = [" ".join(c) for c in cells]
         if any(t.strip() for t in texts):
             table.append(texts)
@@ -170,8 +174,15 @@ def caption_tables(regions: DataFrame, words: DataFrame) -> DataFrame:
     def build(batches):
         for batch in batches:
             texts = []
-            for caption, raw, *corners, found in zip(*(batch.column(i).to_pylist() for i in range(3, 10))):
-                rows = words_to_table([tuple(w.values()) for w in found or []], tuple(corners))
+            # The words column by column: a struct at a time costs far more than its table.
+            lists = batch.column(9)
+            inside = lists.flatten()
+            columns = [values(c) for c in inside.flatten()]
+            at = 0
+            for caption, raw, *corners, size in zip(*(batch.column(i).to_pylist() for i in range(3, 9)), pc.list_value_length(lists).to_pylist()):
+                size = size or 0
+                rows = words_to_table(list(zip(*(c[at : at + size] for c in columns))), tuple(corners))
+                at += size
                 texts.append(f"[Table: {caption}]\n\n{markdown_table(rows)}" if rows else f"[Table: {raw}]")
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], [*PAGE, "seq", "text"])
 
