@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.healing import STOP_WORDS
+from docquarry.operators.batches import pieces, release
 from docquarry.operators.retrieval import cover_density, parse_websearch
 
 
@@ -27,11 +30,55 @@ def stem_of(word: str) -> str:
     return word
 
 
+class _Lexemes(dict):
+    """The lexeme of a word, none for a stop word; begun again when it is large."""
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = found = None if word in STOP_WORDS else stem_of(word)
+        return found
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(lexeme, doc_id, positions from 1, ascending) of texts: stop words go, but count as places. Null and empty texts have none."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.filter(F.split(F.lower(F.col(text_col)), "[^0-9a-zß-ɏ]+"), lambda w: w != "")).alias("at", "word"))
-    held = words.filter(~F.col("word").isin(*sorted(STOP_WORDS)))
-    return held.groupBy(stem(F.col("word")).alias("lexeme"), "doc_id").agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+    """(lexeme, doc_id, positions from 1, ascending) of texts: stop words go, but count as places. Null and empty texts have none.
+
+    A text's postings are made where it is read; rows that share an id are merged afterwards, the only ones that are shuffled.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    split = re.compile("[^0-9a-z\xdf-\u024f]+")
+
+    def run(batches):
+        lexemes = _Lexemes()
+        for batch in batches:
+            for part in pieces(batch, 1):
+                places, words, counts, flat = [], [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    held: dict[str, list[int]] = {}
+                    for at, word in enumerate(filter(None, split.split(text)), 1):
+                        lexeme = lexemes[word]
+                        if lexeme is not None:
+                            if lexeme in held:
+                                held[lexeme].append(at)
+                            else:
+                                held[lexeme] = [at]
+                    places += [i] * len(held)
+                    words += held
+                    for p in held.values():
+                        counts.append(len(p))
+                        flat += p
+                ends = pa.array(np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), part.column(0).take(pa.array(places, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))], ["lexeme", "doc_id", "positions"])
+            release()
+
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
+    several = texts.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again"))
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    schema = f"lexeme string, doc_id {kind}, positions array<int>"
+    one = texts.join(several, same, "left_anti").mapInArrow(run, schema)
+    more = texts.join(several, same, "left_semi").mapInArrow(run, schema)
+    merged = more.groupBy("lexeme", "doc_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return one.unionByName(merged)
 
 
 def search_postings(index: DataFrame, query: str, k: int = 20) -> DataFrame:

@@ -105,3 +105,14 @@ def test_texts_pass_in_pieces():
     batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["x" * (PIECE_CHARS // 2)] * 7 + [None, "y" * 3 * PIECE_CHARS])], ["k", "t"])
     cut = list(pieces(batch, 1))
     assert [k for p in cut for k in p.column(0).to_pylist()] == list(range(9)) and [p.num_rows for p in cut] == [2, 2, 2, 2, 1]
+
+
+def test_postings_of_rows_that_share_an_id_and_of_odd_texts(spark, tmp_path):
+    from docquarry.operators.fulltext import postings
+
+    got, want = made(spark, tmp_path, "postings_digest", ODD[:6])
+    assert got == want
+    df = spark.createDataFrame([(1, "The cats, cat"), (1, "cat"), (None, "dog"), (3, None)], "doc_id long, text string")
+    assert sorted((r.lexeme, r.doc_id, list(r.positions)) for r in postings(df).collect()) == [("cat", 1, [1, 2, 3]), ("dog", None, [1])]
+    # A word's row is not shuffled for each text: what is grouped by lexeme and id are the rows of shared ids.
+    assert "MapInArrow" in postings(df)._jdf.queryExecution().toString()
