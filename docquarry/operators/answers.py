@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.healing import ROUTE, SOURCES_TAIL
 from docquarry.operators.embedding import Embedder, HashingEmbedder, embed
 from docquarry.operators.generation import ChatClient, ExtractiveClient, generate
+from docquarry.operators.nearest import nearest
 
 SYSTEM = "Answer from the numbered source documents alone, and cite them as [n]."
 
@@ -20,25 +21,29 @@ def route(question) -> F.Column:
     return F.when(F.coalesce(question.rlike(ROUTE), F.lit(False)), "structured").otherwise("retrieval")
 
 
-def context_blocks(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+def context_blocks(questions: DataFrame, chunks: DataFrame, k: int = 5, embedder: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
     """(query_id, ref, doc_id, title, section, text) of each question's k nearest chunks.
 
-    questions: query_id, embedding; chunks: doc_id, title, section, text, embedding. The questions, a stated set, meet all
-    chunks; ids and scores alone are ranked, texts joined after the cut.
+    questions: query_id, embedding; chunks: doc_id, title, section, text and, if they have any, embedding (else that of
+    the text). The questions, a stated set, meet all chunks in blocks; ids and scores alone are ranked, texts joined after the cut.
     """
-    from docquarry.operators.retrieval import cosine
-    from pyspark.sql import Window
-
-    q = questions.select("query_id", F.col("embedding").alias("q"))
-    scored = chunks.select("doc_id", "embedding").join(q).select("query_id", "doc_id", cosine(F.col("embedding"), F.col("q")).alias("score")).filter("score is not null")
+    kinds = {"query_id": dict(questions.dtypes)["query_id"], "doc_id": dict(chunks.dtypes)["doc_id"]}
+    vectors = chunks if "embedding" in chunks.columns else embed(chunks.select("doc_id", "text"), embedder)
+    found = nearest(vectors.select(F.col("doc_id").alias("id"), F.col("embedding").alias("v")), questions.select(F.col("query_id").alias("id"), F.col("embedding").alias("v")), k, False)
+    scored = found.select(F.col("query_id").cast(kinds["query_id"]), F.col("id").cast(kinds["doc_id"]).alias("doc_id"), "score")
     ranked = scored.withColumn("ref", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long")).filter(F.col("ref") <= k)
-    return ranked.join(chunks.drop("embedding"), "doc_id").select("query_id", "ref", "doc_id", "title", "section", "text")
+    return chunks.drop("embedding").join(F.broadcast(ranked), "doc_id").select("query_id", "ref", "doc_id", "title", "section", "text")  # ranked: k ids a question
 
 
 def postprocess(answers: DataFrame, blocks: DataFrame) -> DataFrame:
     """answers(query_id, raw_answer, ..) with answer, citations and sources_section; valid references are those of blocks(query_id, ref, title, section, doc_id)."""
     known = blocks.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ref", "title", "section", "doc_id"))).alias("known"))  # k a question
-    held = answers.join(known, "query_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<ref:bigint,title:string,section:string,doc_id:bigint>>")))
+    return cited(answers.join(known, "query_id", "left"), answers.columns)
+
+
+def cited(held: DataFrame, columns: list[str]) -> DataFrame:
+    """postprocess of held, whose rows carry their blocks as known."""
+    held = held.withColumn("known", F.coalesce("known", F.array().cast("array<struct<ref:bigint,title:string,section:string,doc_id:bigint>>")))
     body = F.trim(F.regexp_replace(F.coalesce("raw_answer", F.lit("")), SOURCES_TAIL, ""))
     # References go one by one: a fold over those of the text that no block has.
     body = F.aggregate(
@@ -52,7 +57,7 @@ def postprocess(answers: DataFrame, blocks: DataFrame) -> DataFrame:
     entry = lambda b: F.concat(F.lit("- ["), b.ref.cast("string"), F.lit("] "), F.coalesce(b.title, F.lit("Unknown Source")), F.when(F.coalesce(b.section, F.lit("")) != "", F.concat(F.lit(" — "), b.section)).otherwise(""))
     held = held.withColumn("sources_section", F.array_join(F.concat(F.array(F.lit("## Sources")), F.transform("citations", entry)), "\n"))
     answer = F.when(F.size("citations") > 0, F.concat("body", F.lit("\n\n"), "sources_section")).otherwise(F.col("body"))
-    return held.select(*answers.columns, answer.alias("answer"), "citations", "sources_section")
+    return held.select(*columns, answer.alias("answer"), "citations", "sources_section")
 
 
 def answer_questions(questions: DataFrame, chunks: DataFrame, make: Callable[[], ChatClient] = ExtractiveClient, embedder: Callable[[], Embedder] = HashingEmbedder, k: int = 5) -> DataFrame:
@@ -61,12 +66,15 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, make: Callable[[],
     A question without any chunk goes to the client with an empty context.
     """
     asked = embed(questions.select("query_id", F.col("question").alias("text")), embedder)
-    blocks = context_blocks(asked, chunks, k)
+    blocks = context_blocks(asked, chunks, k, embedder)
     block = F.concat(F.lit("["), "ref", F.lit("] "), F.coalesce("title", F.lit("Unknown Source")), F.when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit(" — "), "section")).otherwise(""), F.lit("\n"), F.coalesce("text", F.lit("")))
-    context = blocks.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", block.alias("b")))), lambda x: x.b), "\n\n").alias("context"), F.count("*").alias("n_blocks"))
-    said = generate(questions.join(context.select("query_id", "context"), "query_id", "left"), SYSTEM, make)
-    kinds = questions.select("query_id", "question", route(F.col("question")).alias("query_type")).join(context.select("query_id", "n_blocks"), "query_id", "left")
-    return postprocess(said, blocks).join(kinds.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0))), "query_id")
+    # The blocks are found once: what the answers' citations need of them goes through the client's pass beside the context.
+    context = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", block.alias("b")))), lambda x: x.b), "\n\n").alias("context")
+    known = F.sort_array(F.collect_list(F.struct("ref", "title", "section", "doc_id"))).alias("known")
+    held = questions.filter("query_id IS NOT NULL").select("query_id", "question").join(blocks.groupBy("query_id").agg(context, known, F.count("*").alias("n_blocks")), "query_id", "left")
+    held = held.withColumn("query_type", route(F.col("question"))).withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    said = generate(held, SYSTEM, make, ("query_type", "n_blocks", "known"))
+    return cited(said, [c for c in said.columns if c != "known"])
 
 
 def list_documents(documents: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -18,18 +18,31 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class _Slots(dict):
+    """Twice the place of a word's count, and one more where it is negative; begun again when it is large."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        self[word] = found = 2 * (h % self.dim) + (h >> 31 == 0)
+        return found
+
+
 class HashingEmbedder:
     """No model: signed counts of words by their checksums, of unit length (a text without words: zeros)."""
 
     def __init__(self, dim: int = 64):
-        self.dim = dim
+        self.dim, self.slots = dim, _Slots(dim)
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-                row[h % self.dim] += 1.0 if h >> 31 else -1.0
+            counts = np.bincount(np.fromiter(map(self.slots.__getitem__, text.lower().split()), np.int64), minlength=2 * self.dim)
+            row += counts[::2] - counts[1::2]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0).tolist()
 

@@ -45,8 +45,8 @@ class FallbackClient:
             return self.second.complete(messages)
 
 
-def generate(questions: DataFrame, system: str, make: Callable[[], ChatClient] = ExtractiveClient) -> DataFrame:
-    """ANSWERS of questions(query_id, context, question); one client for each task. A failed row carries its error."""
+def generate(questions: DataFrame, system: str, make: Callable[[], ChatClient] = ExtractiveClient, keep: tuple[str, ...] = ()) -> DataFrame:
+    """ANSWERS of questions(query_id, context, question), and their columns keep as they are; one client for each task. A failed row carries its error."""
     names = [f.split()[0] for f in ANSWERS.split(", ")]
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string())
 
@@ -63,6 +63,8 @@ def generate(questions: DataFrame, system: str, make: Callable[[], ChatClient] =
                     error = f"{type(e).__name__}: {e}"
                 rows.append((key, text, client.name, (usage or {}).get("prompt_tokens", 0), (usage or {}).get("completion_tokens", 0), (time.monotonic() - start) * 1000, error))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(zip(*rows), kinds)), *batch.columns[3:]], [*names, *keep])
 
-    return questions.select(F.col("query_id").cast("long"), "context", "question").mapInArrow(run, ANSWERS)
+    asked = questions.select(F.col("query_id").cast("long"), "context", "question", *keep)
+    further = "".join(f", {c} {t}" for c, t in asked.select(*keep).dtypes)
+    return asked.mapInArrow(run, ANSWERS + further)

@@ -106,7 +106,7 @@ def answer_run(spark, sf_dir):
     """Every benchmark text asked of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("section"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return answer_questions(asked, embed(docs)).select("query_id", "query_type", "n_blocks", "answer", "sources_section", F.size("citations").cast("long").alias("n_citations"))
+    return answer_questions(asked, docs).select("query_id", "query_type", "n_blocks", "answer", "sources_section", F.size("citations").cast("long").alias("n_citations"))
 
 
 def ingest_errors(spark, sf_dir):

@@ -116,3 +116,9 @@ def test_postings_of_rows_that_share_an_id_and_of_odd_texts(spark, tmp_path):
     assert sorted((r.lexeme, r.doc_id, list(r.positions)) for r in postings(df).collect()) == [("cat", 1, [1, 2, 3]), ("dog", None, [1])]
     # A word's row is not shuffled for each text: what is grouped by lexeme and id are the rows of shared ids.
     assert "MapInArrow" in postings(df)._jdf.queryExecution().toString()
+
+
+def test_answers_embed_each_text_once(spark):
+    plan = entry.queries()["answer_run"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # A pass each for: embedding texts and questions, packing both, scoring, answering.
+    assert plan.count("MapInArrow") <= 6 and "NestedLoop" not in plan
