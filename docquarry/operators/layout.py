@@ -47,58 +47,89 @@ def body_sizes(blocks: DataFrame) -> DataFrame:
     return best.select(*PAGE, F.coalesce("best.size", F.lit(10.0)).alias("body"))
 
 
-def column_gaps(blocks: DataFrame, share: float = 0.01, most: float = 20.0) -> DataFrame:
-    """(doc_id, page, gap_from, gap_to) between the merged x-ranges of blocks, at least max(6, min(share * width, most)) wide."""
+def _gap(among: Column, share: float, most: float) -> tuple[Column, Column]:
+    """(farthest x1 of those among before a block, whether its x0 leaves a gap after it); blocks stand in the order of their x-ranges."""
     order = Window.partitionBy(*PAGE).orderBy("x0", "x1", "seq")
-    before = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     least = F.greatest(F.lit(6.0), F.least(F.col("page_width") * share, F.lit(most)))
-    return blocks.withColumn("before", before).filter(F.col("x0") - F.col("before") >= least).select(*PAGE, F.col("before").alias("gap_from"), F.col("x0").alias("gap_to"))
+    return F.max(F.when(among, F.col("x1"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), among & (F.col("x0") - F.col("before") >= least)
 
 
-def assign_columns(blocks: DataFrame, tolerance: float = 0.15) -> DataFrame:
-    """Blocks of type text with (layout, num_columns, col): col counts kept columns from 0; null: full width. Columns come from blocks near the body size."""
-    sized = blocks.filter("block_type = 'text'").join(body_sizes(blocks), PAGE)
-    body = sized.filter(F.abs(F.col("font_size") - F.col("body")) / F.col("body") < tolerance)
-    enough = body.groupBy(*PAGE).agg(F.count("*").alias("bodies"))
-    cuts = column_gaps(body).groupBy(*PAGE).agg(F.sort_array(F.collect_list((F.col("gap_from") + F.col("gap_to")) / 2)).alias("cuts"))  # a page's gaps
-    held = sized.join(enough, PAGE, "left").join(cuts, PAGE, "left")
-    edges = F.when(F.coalesce("bodies", F.lit(0)) >= 2, F.coalesce("cuts", F.array().cast("array<double>"))).otherwise(F.array().cast("array<double>"))
-    held = held.withColumn("cuts", edges)
+def column_gaps(blocks: DataFrame, share: float = 0.01, most: float = 20.0) -> DataFrame:
+    """(doc_id, page, gap_from, gap_to) between the merged x-ranges of blocks, at least max(6, min(share * width, most)) wide."""
+    before, wide = _gap(F.lit(True), share, most)
+    return blocks.withColumn("before", before).filter(wide).select(*PAGE, F.col("before").alias("gap_from"), F.col("x0").alias("gap_to"))
+
+
+def _with_columns(blocks: DataFrame, tolerance: float) -> DataFrame:
+    """All blocks with body, and those of type text on a page with keys with (layout, num_columns, col) and on: windows over pages dealt once."""
+    page = Window.partitionBy(*PAGE)
+    text = F.col("block_type") == "text"
+    of_size = Window.partitionBy(*PAGE, "size")
+    held = blocks.repartition(*PAGE).withColumn("size", F.round("font_size", 1))  # the windows below need no other exchange
+    held = held.withColumn("n", F.count(F.when(text, 1)).over(of_size)).withColumn("first", F.min("seq").over(of_size))
+    held = held.withColumn("best", F.max(F.when(F.col("n") > 0, F.struct("n", -F.col("first"), "size"))).over(page))
+    held = held.withColumn("body", F.coalesce("best.size", F.lit(10.0)))
+    held = held.withColumn("on", F.coalesce(text & F.col("doc_id").isNotNull() & F.col("page").isNotNull(), F.lit(False)))
+    held = held.withColumn("near", F.coalesce(F.when(F.col("on"), F.abs(F.col("font_size") - F.col("body")) / F.col("body") < tolerance), F.lit(False)))
+    before, wide = _gap(F.col("near"), 0.01, 20.0)
+    held = held.withColumn("before", before).withColumn("cut", F.when(wide, (F.col("before") + F.col("x0")) / 2))
+    held = held.withColumn("bodies", F.count(F.when(F.col("near"), 1)).over(page)).withColumn("cuts", F.sort_array(F.collect_list("cut").over(page)))  # a page's gaps
+    held = held.withColumn("cuts", F.when(F.col("bodies") >= 2, F.col("cuts")).otherwise(F.array().cast("array<double>")))
     start, end = F.size(F.filter("cuts", lambda c: F.col("x0") >= c)), F.size(F.filter("cuts", lambda c: F.col("x1") >= c))
-    held = held.withColumn("raw", F.when(start == end, start))
-    used = F.sort_array(F.collect_set("raw").over(Window.partitionBy(*PAGE)))
-    held = held.withColumn("used", used)
+    held = held.withColumn("raw", F.when(F.col("on") & (start == end), start))
+    held = held.withColumn("used", F.sort_array(F.collect_set("raw").over(page)))
     n = F.when(F.size("used") <= 1, 1).otherwise(F.size("used"))
     name = F.when(n == 1, "single").when(n == 2, "two_columns").when(n == 3, "three_columns").otherwise(F.concat(n.cast("string"), F.lit("_columns")))
     col = F.when(n == 1, 0).when(F.col("raw").isNotNull(), F.array_position("used", F.col("raw")).cast("int") - 1)
-    return held.select(*blocks.columns, name.alias("layout"), n.alias("num_columns"), col.alias("col"))
+    return held.select(*blocks.columns, "body", "on", *(F.when(F.col("on"), c).alias(k) for k, c in (("layout", name), ("num_columns", n), ("col", col))))
 
 
-def reading_order(assigned: DataFrame) -> DataFrame:
-    """assigned with position (from 1): columns from left to right within the bands between full-width blocks.
+def assign_columns(blocks: DataFrame, tolerance: float = 0.15) -> DataFrame:
+    """Blocks of type text with (layout, num_columns, col): col counts kept columns from 0; null: full width. Columns come from blocks near the body size."""
+    return _with_columns(blocks, tolerance).filter("on").select(*blocks.columns, "layout", "num_columns", "col")
 
-    Bands are open on both sides: a column block that begins level with an earlier full-width block, or above 0 where there is one, has no place and goes.
-    """
+
+def _with_places(held: DataFrame, on: Column) -> DataFrame:
+    """held with position: of those on, the place in reading order; null where there is none."""
     page = Window.partitionBy(*PAGE)
     wide = F.col("col").isNull()
-    held = assigned.withColumn("cuts", F.sort_array(F.collect_list(F.when(wide, F.struct("y0", "seq"))).over(page)))
+    held = held.withColumn("cuts", F.sort_array(F.collect_list(F.when(on & wide, F.struct("y0", "seq"))).over(page)))
     above = F.size(F.filter("cuts", lambda c: c.y0 <= F.col("y0")))
     level = F.exists("cuts", lambda c: c.y0 == F.col("y0"))
     lost = ~wide & (F.size("cuts") > above) & (level | (F.col("y0") <= 0))
     place = F.when(wide, F.array_position("cuts", F.struct("y0", "seq")).cast("int") - 1).otherwise(above)
-    held = held.filter(~lost).withColumn("band", place)
-    order = page.orderBy("band", wide.cast("int"), F.coalesce("col", F.lit(0)), "y0", "seq")
-    return held.withColumn("position", F.row_number().over(order).cast("long")).drop("cuts", "band")
+    held = held.withColumn("placed", F.coalesce(on & ~lost, F.lit(False))).withColumn("band", place)
+    order = page.orderBy(F.desc("placed"), "band", wide.cast("int"), F.coalesce("col", F.lit(0)), "y0", "seq")
+    return held.withColumn("position", F.when(F.col("placed"), F.row_number().over(order).cast("long"))).drop("cuts", "band", "placed")
+
+
+def reading_order(assigned: DataFrame) -> DataFrame:
+    """assigned with position (from 1): columns from left to right within the bands between full-width blocks.
+
+    Bands are open on both sides: a column block that begins level with an earlier full-width block, or above 0 where there is one, has no place and goes.
+    """
+    return _with_places(assigned, F.lit(True)).filter(F.col("position").isNotNull())
+
+
+def _with_extra(held: DataFrame) -> DataFrame:
+    """held with the position of its tables and captions too: a page that has any goes by y0; other blocks without position keep none."""
+    extra = F.col("block_type").isin("table", "caption") & F.col("position").isNull()
+    held = held.withColumn("extra", F.coalesce(extra, F.lit(False))).withColumn("mixed", F.max("extra").over(Window.partitionBy(*PAGE)))
+    kept = F.col("extra") | F.col("position").isNotNull()
+    order = Window.partitionBy(*PAGE).orderBy(F.desc("kept"), F.when(F.col("mixed"), F.col("y0")), F.coalesce("position", F.lit(2**62)), "seq")
+    return held.withColumn("kept", kept).withColumn("position", F.when(F.col("kept"), F.row_number().over(order).cast("long"))).drop("extra", "mixed", "kept")
 
 
 def with_inserted(ordered: DataFrame, blocks: DataFrame) -> DataFrame:
     """ordered and the page's tables and captions; where there are any, the page goes by y0 instead."""
     more = blocks.filter(F.col("block_type").isin("table", "caption"))
     extra = more.select(*blocks.columns, F.lit(None).cast("long").alias("position"))
-    both = ordered.select(*extra.columns).unionByName(extra)
-    mixed = F.max(F.col("position").isNull()).over(Window.partitionBy(*PAGE))
-    order = Window.partitionBy(*PAGE).orderBy(F.when(F.col("mixed"), F.col("y0")), F.coalesce("position", F.lit(2**62)), "seq")
-    return both.withColumn("mixed", mixed).withColumn("position", F.row_number().over(order).cast("long")).drop("mixed")
+    return _with_extra(ordered.select(*extra.columns).unionByName(extra))
+
+
+def order_pages(blocks: DataFrame, tolerance: float = 0.15) -> DataFrame:
+    """All blocks with body, layout and position: what assign_columns, reading_order and with_inserted give, in one reading and one exchange; null position: not on its page."""
+    return _with_extra(_with_places(_with_columns(blocks, tolerance), F.col("on"))).select(*blocks.columns, "body", "layout", "position")
 
 
 def heading_marks(blocks: DataFrame) -> Column:
@@ -191,14 +222,11 @@ def caption_tables(regions: DataFrame, words: DataFrame) -> DataFrame:
 
 def extract_pages(blocks: DataFrame) -> DataFrame:
     """(doc_id, page, layout, n_blocks, text) of raw blocks: tagging, columns, order, headings, rendering. A page without text is layout empty."""
-    tagged = tag_texts(tag_margins(blocks))
-    assigned = assign_columns(tagged)
-    layout = assigned.groupBy(*PAGE).agg(F.first("layout").alias("layout"))
-    ordered = with_inserted(reading_order(assigned).select(*tagged.columns, "position"), tagged).join(body_sizes(tagged), PAGE)
+    ordered = order_pages(tag_texts(tag_margins(blocks)))
     mark = heading_marks(ordered)
     line = F.when(F.col("block_type") == "caption", F.concat(F.lit("[Figure: "), "text", F.lit("]"))).when(mark != "", F.concat(mark, F.lit(" "), "text")).otherwise(F.col("text"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda z: z.line), "\n\n")
-    made = ordered.groupBy(*PAGE).agg(F.count("*").alias("n_blocks"), text.alias("text"))
-    pages = blocks.select(*PAGE).distinct()
-    out = pages.join(made, PAGE, "left").join(layout, PAGE, "left")
-    return out.select(*PAGE, F.coalesce("layout", F.when(F.col("n_blocks").isNull(), "empty").otherwise("single")).alias("layout"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"), F.coalesce("text", F.lit("")).alias("text"))
+    # A page without an id has no text.
+    kept = F.col("position").isNotNull() & F.col("doc_id").isNotNull() & F.col("page").isNotNull()
+    lines = F.array_sort(F.collect_list(F.when(kept, F.struct("position", line.alias("line")))))
+    made = ordered.groupBy(*PAGE).agg(F.count(F.when(kept, 1)).alias("n_blocks"), F.array_join(F.transform(lines, lambda z: z.line), "\n\n").alias("text"), F.max("layout").alias("layout"))
+    return made.select(*PAGE, F.coalesce("layout", F.when(F.col("n_blocks") == 0, "empty").otherwise("single")).alias("layout"), "n_blocks", "text")

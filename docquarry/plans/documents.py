@@ -8,7 +8,7 @@ from docquarry.functions.healing import BOILERPLATE, CAPTION, SOURCES_TAIL, STOP
 from docquarry.operators.answers import answer_questions, ingest_files, postprocess
 from docquarry.operators.embedding import embed
 from docquarry.operators.fulltext import postings, search_postings
-from docquarry.operators.layout import assign_columns, body_sizes, caption_tables, column_gaps, extract_pages, heading_spaces, reading_order, tag_margins, tighten, with_inserted
+from docquarry.operators.layout import assign_columns, body_sizes, caption_tables, column_gaps, extract_pages, heading_spaces, order_pages, reading_order, tag_margins, tighten
 from docquarry.plans.dialect import CHECK, SPARK, views
 from docquarry.plans.relational import answers
 
@@ -58,8 +58,7 @@ def page_order(spark, sf_dir):
 
 
 def page_inserts(spark, sf_dir):
-    blocks = tagged(spark, sf_dir)
-    return with_inserted(reading_order(assign_columns(blocks)).select(*blocks.columns, "position"), blocks).select(*KEYS, "position")
+    return order_pages(tagged(spark, sf_dir)).filter("position IS NOT NULL").select(*KEYS, "position")
 
 
 def page_extraction(spark, sf_dir):

@@ -122,3 +122,13 @@ def test_answers_embed_each_text_once(spark):
     plan = entry.queries()["answer_run"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     # A pass each for: embedding texts and questions, packing both, scoring, answering.
     assert plan.count("MapInArrow") <= 6 and "NestedLoop" not in plan
+
+
+def test_pages_are_read_and_dealt_once(spark, tmp_path):
+    for name in ("column_assign", "page_order", "page_inserts", "page_extraction"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+    lines = ["\n".join(f"line {i} of {n}" for i in range(n)) for n in (1, 12, 47, 75)]
+    odd = pd.DataFrame({"doc_id": [*range(6), None], "source": "s", "text": [*lines, "", None, "lost\nlines"]}).astype({"doc_id": "Int64"})
+    got, want = made(spark, tmp_path, "page_extraction", odd)
+    assert got == want and [r[2:4] for r in got if r[0] is None] == [("empty", 0)]
